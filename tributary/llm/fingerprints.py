@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import hex_hash, pick, wide_hash
 
 NORMALIZER, FOLDER = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
-#: Width of the id blocks in which neighbours are looked up, and how many blocks make a larger one.
-BLOCK, FAN = 256, 1024
+#: Width of the id blocks in which neighbours are looked up, and how many blocks make a larger one, as powers of two.
+BLOCK_BITS, FAN_BITS = 8, 10
 
 
 def canonical(text: Column) -> Column:
@@ -69,24 +69,26 @@ def likeness(left: Column, right: Column) -> Column:
 def with_next(rows: DataFrame) -> DataFrame:
     """(id, block, text, next_text): each row of (id, text) with the text of the next row in descending id order.
 
-    After the last comes the first; rows with equal ids follow by text; null ids are last. Ids are cut into blocks of
-    `BLOCK`; neighbours inside a block come from a window over it, the head of the next block from windows
-    over ever larger blocks, each of which holds at most `FAN` heads. The last level has one row
-    for each BLOCK * FAN * FAN ids.
+    After the last comes the first; rows with equal ids follow by text; null ids are last. Ids are cut into blocks
+    of 256; neighbours inside a block come from a window over it, the head of the next block from windows
+    over ever larger blocks, each of which holds at most 1024 heads. The last level has one row
+    for each 2**28 ids.
     """
-    floor = lambda c, n: F.floor(F.col(c) / F.lit(n)).cast("bigint")
+    # First rows are told by lag: a rank would get a limit of its own before a second exchange of the texts.
+    leads = lambda over: F.lag(F.lit(1)).over(over).isNull()
+    # Shifts floor and are never null, so that no null filter makes the branches' scans differ: all share one exchange.
     order = [F.col("id").desc_nulls_last(), F.col("text")]
     within = Window.partitionBy("block").orderBy(*order)
-    rows = rows.withColumn("block", F.coalesce(floor("id", BLOCK), F.lit(-(1 << 62))))
-    placed = rows.withColumn("next_text", F.lead("text").over(within)).withColumn("at", F.row_number().over(within))
-    level = placed.where("at = 1").select("block", F.col("text").alias("head"))
+    rows = rows.withColumn("block", F.coalesce(F.shiftright(F.col("id").cast("bigint"), BLOCK_BITS), F.lit(-(1 << 62))))
+    placed = rows.withColumn("next_text", F.lead("text").over(within)).withColumn("leads", leads(within))
+    level = placed.where("leads").select("block", F.col("text").alias("head"))
     steps, names = [level], ["block"]
     for k in (1, 2):
-        up = level.withColumn(f"up{k}", floor(names[-1], FAN))
+        up = level.withColumn(f"up{k}", F.shiftright(names[-1], FAN_BITS))
         by = Window.partitionBy(f"up{k}").orderBy(F.col(names[-1]).desc())
-        up = up.withColumn(f"after{k}", F.lead("head").over(by)).withColumn("rank", F.row_number().over(by))
-        steps.append(up.drop("rank", "head"))
-        level = up.where("rank = 1").select(f"up{k}", "head")
+        up = up.withColumn(f"after{k}", F.lead("head").over(by)).withColumn("leads", leads(by))
+        steps.append(up.drop("leads", "head"))
+        level = up.where("leads").select(f"up{k}", "head")
         names.append(f"up{k}")
     top = Window.orderBy(F.col("up2").desc())
     first = level.agg(F.max_by("head", "up2").alias("first"))
