@@ -131,10 +131,11 @@ def compare_edits(documents: DataFrame, id_column: str = "doc_id", text_column:
     own = told.select("id", "block", F.posexplode(F.array("hash", "edited_hash")).alias("which", "hash"))
     shared = own.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     members = own.join(shared, "hash", "left_semi").groupBy("id", "block").agg(F.collect_set("which").alias("which"))
-    by_block = lambda left, right: left.join(  # noqa: E731  the large side keeps its partitioning and needs no sort
-        right.withColumnsRenamed({"id": "their_id", "block": "their_block"}).hint("shuffle_hash"),
-        (F.col("block") == F.col("their_block")) & F.col("id").eqNullSafe(F.col("their_id")),
-        "left",
+    # The large side keeps its partitioning by block and needs no sort; ids are compared inside the block, since
+    # a key of its own would deal the texts out anew.
+    same = F.coalesce(F.col("id") - F.col("their_id") == 0, F.col("id").isNull() & F.col("their_id").isNull())
+    by_block = lambda left, right: left.join(
+        right.withColumnsRenamed({"id": "their_id", "block": "their_block"}).hint("shuffle_hash"), (F.col("block") == F.col("their_block")) & same, "left"
     ).drop("their_id", "their_block")
     chosen = by_block(both, members).where("which is not null")
     wanted = lambda i, c: F.when(F.array_contains("which", i), F.col(c))
