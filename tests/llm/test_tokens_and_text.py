@@ -1,7 +1,6 @@
 """BPE, chat formatting, token files and secret scans against the libraries, round trips and brute force."""
 
 import hashlib
-import json
 import random
 import re
 import zlib
@@ -146,16 +145,16 @@ def test_secrets_odd_rows(spark):
 
 
 def slow_bits(value):
-    """The same cost by trying every segmentation through recursion on single segments."""
+    """The same cost by trying every segment at every end. Repeats and walks begin where their run begins."""
     n, low = len(value), value.lower()
 
     def segment(a, b):
         part, cost = value[a:b], float("inf")
         if b - a == 1:
             return secret_scan.brute_bits(part)
-        if len(set(part)) == 1 and b - a >= 3:
+        if len(set(part)) == 1 and b - a >= 3 and (a == 0 or value[a - 1] != part[0]):
             cost = min(cost, secret_scan.brute_bits(part[0]) + np.log2(b - a))
-        if b - a >= 3 and all(p in secret_scan.NEIGHBOURS for p in zip(low[a:b], low[a + 1 : b])):
+        if b - a >= 3 and all(p in secret_scan.NEIGHBOURS for p in zip(low[a : b - 1], low[a + 1 : b])) and (a == 0 or (low[a - 1], low[a]) not in secret_scan.NEIGHBOURS):
             cost = min(cost, np.log2(47) + np.log2(b - a))
         word = secret_scan.COST_OF_WORD.get(low[a:b])
         if word is None and low[a:b].translate(secret_scan.LEET) in secret_scan.COST_OF_WORD:
@@ -179,5 +178,4 @@ def test_guess_cost_is_the_least_of_all_segmentations():
     bits = ["pass", "P4ssword", "2024", "1999-12-31", "aaa", "qwert", "9876", "Z", "q", "7", "#", "monkey", "letmein"]
     for _ in range(300):
         value = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 6)))
-        assert secret_scan.guess_bits(value) <= slow_bits(value) + 1e-9 or json.dumps(value) == ""
-        assert abs(secret_scan.guess_bits(value) - slow_bits(value)) < 3.0
+        assert secret_scan.guess_bits(value) == pytest.approx(slow_bits(value))

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, quality, secret_scan, token_files, url_filter
+from . import bpe, chat, fingerprints, near_dup, quality, secret_scan, token_files, url_filter
 from .common import read_table
 
 #: The rules of op10.
@@ -94,12 +94,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.components(read_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_format, op3_token_files, op4_secret_scan, op5_fingerprints, op8_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_format, op3_token_files, op4_secret_scan, op5_fingerprints, op8_quality, op9_near_dup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
