@@ -3,25 +3,27 @@
 Encoding has three narrow steps, without a shuffle, so that a lost executor costs its tasks only:
 
 1. texts are cut into blocks, each split by the tokenizer's pattern into its distinct words (Arrow);
-2. higher-order functions fold ranked merges over each distinct word: starting from byte ids, the fold
-   merges the leftmost pair of least rank until no pair has one. Ranks come from a literal rank map: an
-   array of longs, addressed by a hash of the pair, that is part of the plan;
+2. higher-order functions fold ranked merges over each distinct word: starting from the ids of its bytes, the
+   fold merges the leftmost pair of least rank until no pair has one. Ranks come from a literal rank map:
+   two arrays in the plan, addressed by a hash of the pair. Ids are characters while they are folded, as
+   Spark's string functions are about twice as fast here as those on arrays;
 3. word ids are put together again for each document (Arrow).
 
 Decoding is native: it looks up each id's bytes in a literal array and concatenates the pieces.
 
-The rank map holds one long for each mergeable pair in a cuckoo table (two slots for each key), so that a
-lookup costs one hash and at most two comparisons; Spark's own map type would search it linearly.
+The rank map is a cuckoo table of the mergeable pairs (two slots for each), so that a lookup costs one hash and
+at most two comparisons; Spark's own map type would search it linearly.
 """
 
 from __future__ import annotations
 
 import base64
-import struct
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import let, pick
 
 #: Texts are taken in blocks of about so many characters; a longer text is a block of its own.
-BLOCK_CHARS = 6_000_000
-#: Ids take 20 bits in the rank map.
-ID_BITS = 20
+BLOCK_CHARS = 2_000_000
+#: Distinct words that a task remembers before it starts anew.
+MAX_WORDS = 1_000_000
+#: The code point of id 0, and the rank of pairs that don't merge.
+FIRST_CHAR = 256
 NO_RANK = 1 << 30
 
 
@@ -40,8 +44,6 @@ class Ranks:
     """Mergeable ranks: bytes of each token to its id, and the tables that the plan carries."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        if max(ranks.values()) >= 1 << ID_BITS:
-            raise ValueError(f"ids must be below {1 << ID_BITS}")
         self.ranks, self.pattern = ranks, pattern
 
     @classmethod
@@ -50,93 +52,103 @@ class Ranks:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
-    def pairs(self) -> dict[int, int]:
-        """Each mergeable pair of ids, as left << ID_BITS | right, with the id that it makes."""
+    def pairs(self) -> dict[str, int]:
+        """Each mergeable pair, as the two characters of its ids, with the id that it makes."""
         found = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    found[left << ID_BITS | right] = rank
+                    found[char_of(left) + char_of(right)] = rank
         return found
 
-    def table(self) -> np.ndarray:
-        """The pairs as a cuckoo table of longs, key << ID_BITS | rank, 0 where empty; its size is a power of two."""
+    def table(self) -> list[tuple[str, int]]:
+        """The pairs in a cuckoo table of (pair, id), ("", 0) where empty; its size is a power of two."""
         pairs = self.pairs()
-        size = 1 << max(4, (len(pairs) * 9 // 4).bit_length())
+        size = 1 << max(4, (len(pairs) * 9 // 4).bit_length() - 1)
         while (table := place(pairs, size)) is None:
             size *= 2
         return table
 
 
-def slots(key: int, size: int) -> tuple[int, int]:
-    """The two slots of a pair; the same as Spark's xxhash64 of the key gives."""
-    h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+def char_of(token: int) -> str:
+    """The character that stands for an id while words are folded: code points from 256, without surrogates."""
+    return chr(token + FIRST_CHAR if token + FIRST_CHAR < 0xD800 else token + FIRST_CHAR + 0x800)
+
+
+def ids_of(chars: np.ndarray) -> np.ndarray:
+    """The ids of code points."""
+    return (chars.astype(np.int64) - FIRST_CHAR - np.where(chars >= 0xE000, 0x800, 0)).astype(np.int32)
+
+
+def slots(pair: str, size: int) -> tuple[int, int]:
+    """The two slots of a pair, from Spark's xxhash64 of it."""
+    h = xxhash.xxh64_intdigest(pair.encode(), 42)
     return h & (size - 1), h >> 32 & (size - 1)
 
 
-def place(pairs: dict[int, int], size: int) -> np.ndarray | None:
-    table = [0] * size
-    for key, rank in pairs.items():
-        entry, at = key << ID_BITS | rank, slots(key, size)[0]
+def place(pairs: dict[str, int], size: int) -> list[tuple[str, int]] | None:
+    table = [("", 0)] * size
+    for item in pairs.items():
+        at = slots(item[0], size)[0]
         for _ in range(500):
-            entry, table[at] = table[at], entry
-            if not entry:
+            item, table[at] = table[at], item
+            if not item[0]:
                 break
-            first, second = slots(entry >> ID_BITS, size)
+            first, second = slots(item[0], size)
             at = second if at == first else first
         else:
             return None
-    return np.array(table, dtype=np.int64)
+    return table
+
 
+def literal(values: list[str]) -> Column:
+    """A string array as a foldable expression; the optimizer turns it into one literal."""
+    return F.split(F.lit(",".join(values)), ",")
 
-def literal_longs(values: np.ndarray) -> Column:
-    """A long array as a foldable expression; the optimizer turns it into one literal."""
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
+def fold_merges(word: Column, pairs: Column, ranks: Column, chars: Column, size: int) -> Column:
+    """A word of id characters with ranked merges folded in, given the id characters of its bytes.
 
-def fold_merges(ids: Column, table: Column, size: int) -> Column:
-    """The ids of a word, given the ids of its bytes, by folding ranked merges."""
+    Each step looks up all adjacent pairs and merges the leftmost of least rank; a rank is the new id.
+    """
 
-    def rank(left: Column, right: Column) -> Column:
-        def look(key: Column) -> Column:
-            def probe(h: Column) -> Column:
-                first = F.get(table, h.bitwiseAND(F.lit(size - 1)).cast("int"))
-                second = F.get(table, F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1)).cast("int"))
-                told = lambda e: e.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
-                fits = lambda e: F.shiftright(e, ID_BITS) == key
-                return F.when(fits(first), told(first)).when(fits(second), told(second)).otherwise(F.lit(NO_RANK))
+    def rank(pair: Column) -> Column:
+        def probe(h: Column) -> Column:
+            first = h.bitwiseAND(F.lit(size - 1)).cast("int")
+            second = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1)).cast("int")
+            return F.when(F.get(pairs, first) == pair, F.get(ranks, first)).when(F.get(pairs, second) == pair, F.get(ranks, second)).otherwise(F.lit(NO_RANK))
 
-            return let(F.xxhash64(key), probe)
+        return let(F.xxhash64(pair), probe)
 
-        return let(F.shiftleft(left.cast("bigint"), ID_BITS).bitwiseOR(right.cast("bigint")), look)
+    def step(state: Column, _: Column) -> Column:
+        n = F.length(state)
+
+        def merge(found: Column) -> Column:
+            at = lambda k: F.concat(F.substring(state, F.lit(1), k - 1), F.get(chars, F.get(found, k - 1)), F.substring(state, k + 2, n))
+            least = F.array_min(found)
+            return F.when(least == NO_RANK, state).otherwise(let(F.array_position(found, least).cast("int"), at))
+
+        return let(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: rank(F.substring(state, i, F.lit(2)))), merge)
+
+    return F.when(F.length(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), word, step))
 
-    def merge(state: Column, least: Column) -> Column:
-        def at(k: Column) -> Column:  # the pair's first id is the k-th, from 1
-            ids, ranks, n = state["ids"], state["ranks"], F.size(state["ids"])
-            none = F.array().cast("array<int>")
-            before = F.when(k > 1, F.array(rank(F.get(ids, k - 2), least))).otherwise(none)
-            after = F.when(k + 2 <= n, F.array(rank(least, F.get(ids, k + 1)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), k - 1), F.array(least), F.slice(ids, k + 2, n)).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(k - 2, F.lit(0))), before, after, F.slice(ranks, k + 2, n)).alias("ranks"),
-            )
 
-        return F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, state).otherwise(let(F.array_position(state["ranks"], least).cast("int"), at))
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
 
-    n = F.size(ids)
-    steps = F.sequence(F.lit(1), n - 1)
-    start = F.struct(ids.alias("ids"), F.transform(steps, lambda i: rank(F.get(ids, i - 1), F.get(ids, i))).alias("ranks"))
-    folded = F.aggregate(steps, start, lambda state, _: let(F.array_min(state["ranks"]), lambda least: merge(state, least)), lambda state: state["ids"])
-    return F.when(n < 2, ids).otherwise(folded)
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
 
 
 def split_blocks(ranks: dict[bytes, int], pattern: str, block_chars: int):
-    """For mapInArrow: (key, text) to one row for each block: keys, words per text, word numbers, byte ids of the distinct words.
+    """For mapInArrow: (key, text) to one row for each block: keys, words per text, word numbers, first number, byte ids of words.
 
-    A word that is a token itself starts, and so ends, as that one id.
+    Only words that no earlier block of the task has are given, so that each is folded once for a task; numbers
+    go on from block to block until `MAX_WORDS`, then start anew. A word that is a token itself starts, and so ends, as that one id.
     """
-    byte_ids = [ranks[bytes([b])] for b in range(256)]
+    byte_chars = [char_of(ranks[bytes([b])]) for b in range(256)]
 
     def blocks(rows: Iterator[tuple[int, str]]) -> Iterator[tuple[list, list]]:
         keys, texts, chars = [], [], 0
@@ -151,25 +163,21 @@ def split_blocks(ranks: dict[bytes, int], pattern: str, block_chars: int):
             yield keys, texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        find, number = regex.compile(pattern).findall, Numbers()
         rows = ((k, t or "") for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
         for keys, texts in blocks(rows):
-            number = {}
-            counts, numbers = [], []
+            if len(number) > MAX_WORDS:
+                number.clear()
+            before, counts, numbers = len(number), [], []
             for text in texts:
                 words = find(text)
                 counts.append(len(words))
-                for word in words:
-                    if word not in number:
-                        number[word] = len(number)
                 numbers.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-            starts, ids = np.zeros(len(number) + 1, np.int32), []
-            for i, word in enumerate(number):
+            words = []
+            for word in itertools.islice(number, before, None):
                 raw = word.encode()
                 whole = ranks.get(raw)
-                ids.extend(map(byte_ids.__getitem__, raw) if whole is None else (whole,))
-                starts[i + 1] = len(ids)
-            words = pa.ListArray.from_arrays(pa.array(starts), pa.array(ids, pa.int32()))
+                words.append("".join(map(byte_chars.__getitem__, raw)) if whole is None else char_of(whole))
             one = lambda values, kind: pa.array([values], pa.list_(kind))
             flat = np.concatenate(numbers)
             yield pa.RecordBatch.from_arrays(
@@ -177,31 +185,35 @@ def split_blocks(ranks: dict[bytes, int], pattern: str, block_chars: int):
                     one(keys, pa.int64()),
                     one(counts, pa.int32()),
                     pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat)),
-                    pa.ListArray.from_arrays(pa.array([0, len(number)], pa.int32()), words),
+                    pa.array([before], pa.int32()),
+                    one(words, pa.string()),
                 ],
-                ["keys", "counts", "numbers", "words"],
+                ["keys", "counts", "numbers", "first", "words"],
             )
 
     return run
 
 
 def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: blocks with the ids of their words, to (key, ids) rows of the texts."""
+    """For mapInArrow: blocks with the ids of their new words, to (key, ids) rows of the texts."""
+    ids, lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
     for batch in batches:
         for r in range(batch.num_rows):
-            keys, counts, numbers, words = (batch.column(i)[r].values for i in range(4))
-            ids, starts = words.flatten().to_numpy(zero_copy_only=False), words.offsets.to_numpy()
-            starts = starts - starts[0]
-            lengths, numbers = np.diff(starts), numbers.to_numpy()
+            keys, counts, numbers, words = (batch.column(i)[r].values for i in (0, 1, 2, 4))
+            first = batch.column(3)[r].as_py()
+            new_ids = ids_of(np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4"))
+            lengths = np.concatenate([lengths[:first], pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)])
+            ids = np.concatenate([ids[: lengths[:first].sum()], new_ids])
+            starts, numbers = np.cumsum(lengths) - lengths, numbers.to_numpy()
             ends = np.cumsum(counts.to_numpy())
             for low in range(0, len(ends), 64):  # a few texts at a time bound the memory
                 high = min(len(ends), low + 64)
-                first = ends[low - 1] if low else 0
-                part = numbers[first : ends[high - 1]]
+                begin = ends[low - 1] if low else 0
+                part = numbers[begin : ends[high - 1]]
                 n = lengths[part]
                 at = np.concatenate([[0], np.cumsum(n)])
                 flat = ids[np.repeat(starts[part] - at[:-1], n) + np.arange(at[-1])]
-                cuts = at[np.concatenate([[0], ends[low:high] - first])].astype(np.int32)
+                cuts = at[np.concatenate([[0], ends[low:high] - begin])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([keys[low:high], pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int32()))], ["key", "ids"])
 
 
@@ -213,10 +225,13 @@ def encode(documents: DataFrame, ranks: Ranks, id_column: str = "doc_id", text_c
     """
     table = ranks.table()
     rows = pick(documents, key=id_column, text=text_column).select(F.col("key").cast("bigint"), "text")
-    kinds = "keys array<bigint>, counts array<int>, numbers array<int>, words array<array<int>>"
+    kinds = "keys array<bigint>, counts array<int>, numbers array<int>, first int, words array<string>"
     blocks = rows.mapInArrow(split_blocks(ranks.ranks, ranks.pattern, block_chars), kinds)
-    folded = let(literal_longs(table), lambda t: F.transform("words", lambda w: fold_merges(w, t, len(table))))
-    joined = blocks.select("keys", "counts", "numbers", folded.alias("words")).mapInArrow(join_blocks, "key bigint, ids array<int>")
+    pairs, made = literal([p for p, _ in table]), literal([str(r) for _, r in table]).cast("array<int>")
+    chars = literal([char_of(i) for i in range(max(ranks.ranks.values()) + 1)])
+    fold = lambda p, r, c: F.transform("words", lambda w: fold_merges(w, p, r, c, len(table)))
+    folded = let(pairs, lambda p: let(made, lambda r: let(chars, lambda c: fold(p, r, c))))
+    joined = blocks.select("keys", "counts", "numbers", "first", folded.alias("words")).mapInArrow(join_blocks, "key bigint, ids array<int>")
     return joined.select(F.col("key").alias(id_column), "ids")
 
 
