@@ -33,6 +33,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     @classmethod
     def of(cls, definition: str, pattern: str) -> WordEncoder:
@@ -44,13 +45,26 @@ class WordEncoder:
         return cls._kept[key]
 
     def learn(self, words: Iterable[str]) -> None:
+        """Adds words to the cache. Plain words are encoded many at a time, between line feeds, which the pattern
+        splits off and whose id no plain word has."""
         new = list(words)
         if len(self.known) + len(new) > CACHE_SIZE:
             self.known.clear()
-        for low in range(0, len(new), 2000):
-            part = new[low : low + 2000]
-            for word, told in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(told.ids, "<u4").tobytes()
+        plain = [w for w in new if (w[1:] if w[0] == " " else w).isalpha()]
+        for low in range(0, len(plain), 4000):
+            part = plain[low : low + 4000]
+            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_feed)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the tokenizer doesn't split at line feeds")
+            raw, ends = ids.tobytes(), (4 * cuts).tolist() + [4 * len(ids)]
+            start = 0
+            for word, end in zip(part, ends):
+                self.known[word] = raw[start:end]
+                start = end + 4
+        other = [w for w in new if not (w[1:] if w[0] == " " else w).isalpha()]
+        for word, told in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self.known[word] = np.array(told.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
