@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, near_dup, quality, secret_scan, token_files, url_filter
+from . import bpe, chat, fingerprints, line_dedup, mixing, near_dup, quality, secret_scan, token_files, url_filter
 from .common import read_table
 
 #: The rules of op10.
@@ -90,6 +90,15 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(read_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), drop_emptied=False)
+    return left.select("doc_id", F.col("n_chars").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
@@ -103,7 +112,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_format, op3_token_files, op4_secret_scan, op5_fingerprints, op8_quality, op9_near_dup, op10_url_filter)}
+    found = (op1_byte_bpe, op2_chat_format, op3_token_files, op4_secret_scan, op5_fingerprints, op6_mixing, op7_line_dedup, op8_quality, op9_near_dup, op10_url_filter)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
