@@ -39,6 +39,8 @@ MAX_WEIGHT = 1_500_000
 #: Members of a query set that are compared at a time.
 CHUNK = 400
 MANTISSA_BITS = 10
+#: Edges (counted both ways) that one task holds without effort.
+FEW_EDGES = 500_000
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 6.0
 
@@ -281,9 +283,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that the edges (a, b) of longs connect each node with.
 
     Each round passes least labels along edges and then jumps to the label's own label; lineage is cut each
-    round. A node with very many edges only meets partial minima and joins that Spark can split.
+    round. A node with very many edges only meets partial minima and joins that Spark can split. Up to
+    `FEW_EDGES` edges make one partition, in which rounds need no exchange.
     """
     both = cut(edges.union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct())
+    if both.count() <= FEW_EDGES:
+        both = cut(both.coalesce(1))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
     while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("low"))
@@ -349,10 +354,10 @@ def components(documents: DataFrame, percent: int = 80, width: int = SHINGLE, id
     if not heavy.isEmpty():
         links = links.union(resolve_heavy(heavy.drop("weight"), percent, width))
     # Documents whose rows are in several classes connect these.
-    membership = real.join(classes.drop("sketch"), own).select("id", "rep")
-    several = membership.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    several = real.groupBy("id").agg(F.min(F.struct(*own)).alias("x"), F.max(F.struct(*own)).alias("y")).where("x <> y").select("id")
     if not several.isEmpty():
-        links = links.union(membership.join(several.select("id", "a"), "id").select("a", F.col("rep").alias("b")).where("a <> b"))
+        membership = cut(real.join(several, "id", "left_semi").join(classes.drop("sketch"), own).select("id", "rep"))
+        links = links.union(membership.join(membership.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b")).where("a <> b"))
     found = connected_components(links).withColumnsRenamed({"node": "rep", "component": "least"})
     labels = classes.drop("sketch").join(found, "rep", "left").select(*own, F.coalesce("least", "rep").alias("least"))
     told = sketched.select("id", *own).join(labels, own, "left")
