@@ -24,12 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, pick
+from .splitting import splitter
 
 #: Texts are taken in blocks of about so many characters; a longer text is a block of its own.
 BLOCK_CHARS = 2_000_000
@@ -163,7 +163,7 @@ def split_blocks(ranks: dict[bytes, int], pattern: str, block_chars: int):
             yield keys, texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, number = regex.compile(pattern).findall, Numbers()
+        find, number = splitter(pattern), Numbers()
         rows = ((k, t or "") for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
         for keys, texts in blocks(rows):
             if len(number) > MAX_WORDS:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,8 +85,8 @@ class EliasFano:
 
 
 def pack_block(keys: list[int], ids: list[np.ndarray], before: int, width: int) -> bytes:
-    """One block; keys ascend."""
-    ends = np.cumsum([len(x) for x in ids])
+    """One block; keys ascend, and each has two id arrays: its text's and its end's."""
+    ends = np.cumsum([len(a) + len(b) for a, b in zip(ids[::2], ids[1::2])])
     first = keys[0] if keys else 0
     tokens = np.concatenate(ids) if ids else np.zeros(0, "<u4")
     offsets = np.array([k - first for k in keys], np.int64)
@@ -110,6 +111,19 @@ class Block:
         self.tokens = np.frombuffer(view, f"<u{width}", n_tokens, at)
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 200, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch of (key, text) in slices of so many rows or bytes of text at most; a longer text is a slice of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    low = total = 0
+    for i, n in enumerate(lengths):
+        if i > low and (i - low >= rows or total + n > size):
+            yield batch.slice(low, i - low)
+            low, total = i, 0
+        total += n
+    if low < len(lengths):
+        yield batch.slice(low)
+
+
 def encode_blocks(definition: str, pattern: str, end_id: int, width: int, block_tokens: int):
     """For mapInArrow over sorted (key, text): rows (file, number, block). Null keys are in blocks of their own."""
 
@@ -128,13 +142,14 @@ def encode_blocks(definition: str, pattern: str, end_id: int, width: int, block_
             return row
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if keys and (size >= block_tokens or (key is None) != (keys[0] is None) or (key is not None and key - keys[0] >= 1 << 62)):
-                    yield flush()
-                told = np.concatenate([encoder.encode(text.as_py() or ""), end])
-                keys.append(key)
-                ids.append(told)
-                size += len(told)
+            for part in pieces(batch):
+                told = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                for key, one in zip(part.column(0).to_pylist(), told):
+                    if keys and (size >= block_tokens or (key is None) != (keys[0] is None) or (key is not None and key - keys[0] >= 1 << 62)):
+                        yield flush()
+                    keys.append(key)
+                    ids += [one, end]
+                    size += len(one) + 1
         if keys:
             yield flush()
 

@@ -11,12 +11,13 @@ import os
 from collections.abc import Iterable
 
 import numpy as np
-import regex
+
+from .splitting import splitter
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pre-tokens that a worker remembers at most (about 100 bytes each).
-CACHE_SIZE = 500_000
+CACHE_SIZE = 250_000
 #: Longer ones are encoded each time.
 CACHED_LENGTH = 64
 
@@ -31,7 +32,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(pattern).findall
+        self.find = splitter(pattern)
         self.known: dict[str, bytes] = {}
         (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
@@ -47,10 +48,9 @@ class WordEncoder:
     def learn(self, words: Iterable[str]) -> None:
         """Adds words to the cache. Plain words are encoded many at a time, between line feeds, which the pattern
         splits off and whose id no plain word has."""
-        new = list(words)
-        if len(self.known) + len(new) > CACHE_SIZE:
-            self.known.clear()
-        plain = [w for w in new if (w[1:] if w[0] == " " else w).isalpha()]
+        plain, other = [], []
+        for word in words:
+            (plain if (word[1:] if word[0] == " " else word).isalpha() else other).append(word)
         for low in range(0, len(plain), 4000):
             part = plain[low : low + 4000]
             ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
@@ -62,22 +62,19 @@ class WordEncoder:
             for word, end in zip(part, ends):
                 self.known[word] = raw[start:end]
                 start = end + 4
-        other = [w for w in new if not (w[1:] if w[0] == " " else w).isalpha()]
         for word, told in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             self.known[word] = np.array(told.ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text."""
-        words = self.find(text)
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
-        except KeyError:
-            distinct = set(words)
-            self.learn(w for w in distinct if w not in self.known)
-            if not distinct <= self.known.keys():  # the cache was dropped meanwhile
-                self.learn(w for w in distinct if w not in self.known)
-            ids = b"".join(map(self.known.__getitem__, words))
-            for word in distinct:
-                if len(word) > CACHED_LENGTH:
-                    del self.known[word]
-            return np.frombuffer(ids, "<u4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts."""
+        split = [self.find(text) for text in texts]
+        distinct = set().union(*split)
+        if len(self.known) > CACHE_SIZE:
+            self.known.clear()
+        self.learn(distinct.difference(self.known))
+        known = self.known.__getitem__
+        found = [np.frombuffer(b"".join(map(known, words)), "<u4") for words in split]
+        for word in distinct:
+            if len(word) > CACHED_LENGTH:
+                del self.known[word]
+        return found
