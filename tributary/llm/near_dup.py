@@ -35,7 +35,7 @@ from .common import cut, pick
 #: Words of a shingle; registers of a band; chance to miss a pair at the threshold.
 SHINGLE, ROWS, MISS = 5, 4, 1e-7
 #: A cluster with more shingles (with repeats, over its members) is resolved in pieces.
-MAX_WEIGHT = 1_500_000
+MAX_WEIGHT = 300_000
 #: Members of a query set that are compared at a time.
 CHUNK = 400
 MANTISSA_BITS = 10
@@ -181,20 +181,19 @@ def resolve_cluster(ids: list[int], sets: list[np.ndarray], sketches: list[np.nd
         seen.update(s.tolist())
     size = np.array([len(s) for s in sets])
     rest = np.array([sum(seen[h] > 1 for h in s.tolist()) for s in sets])
+    keys = np.array([k.view("<i8") for k in sketches])
     buckets = defaultdict(list)
     for i in sorted(np.flatnonzero(100 * rest >= percent * size).tolist(), key=lambda i: (size[i] - rest[i], ids[i])):
-        for band, key in enumerate(band_keys(sketches[i])):
-            if key is not None:
+        for band, key in enumerate(keys[i].tolist()):
+            if key:
                 buckets[band, key].append(i)
-    tested = set()
-    for members in buckets.values():
+    for (band, _), members in buckets.items():
         for k, i in enumerate(members[:-1]):
             later = np.array(members[k + 1 :])
-            for j in later[may_link(size[i], rest[i], size[later], rest[later], percent)].tolist():
-                if (i, j) in tested or root(i) == root(j):
-                    continue
-                tested.add((i, j))
-                if plausible(sketches[i], sketches[j], percent / 100) and linked(sets[i], sets[j], percent):
+            # A pair is tested in the first band that it shares.
+            earlier = ((keys[later, :band] == keys[i, :band]) & (keys[i, :band] != 0)).any(axis=1)
+            for j in later[may_link(size[i], rest[i], size[later], rest[later], percent) & ~earlier].tolist():
+                if root(i) != root(j) and plausible(sketches[i], sketches[j], percent / 100) and linked(sets[i], sets[j], percent):
                     parent[root(j)] = root(i)
     least: dict[int, int] = {}
     for i in range(n):
