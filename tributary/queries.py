@@ -90,8 +90,9 @@ QUERIES: list[tuple[str, str, str, str | None]] = [
     ("win_distinct", "snowflake", "SELECT c_custkey, COUNT(DISTINCT c_mktsegment) OVER (PARTITION BY c_nationkey) AS n FROM customer", "SELECT c_custkey, CAST(count(DISTINCT c_mktsegment) OVER (PARTITION BY c_nationkey) AS INT) AS n FROM customer"),
     ("win_ignore_nulls", "snowflake", "SELECT event_id, LAST_VALUE(CASE WHEN event_type = 'click' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_click FROM events", "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_click FROM events"),
     # Dates
-    *((f"date_diff_{p.lower()}", "bigquery", f"SELECT o_orderkey, DATE_DIFF(CAST(o_orderdate AS DATE), DATE '1995-06-14', {p}) AS n FROM orders", f"SELECT o_orderkey, date_diff('{p.lower().removeprefix('iso')}', DATE '1995-06-14', CAST(o_orderdate AS DATE)) AS n FROM orders") for p in ("DAY", "ISOWEEK", "MONTH", "QUARTER", "YEAR")),
-    *((f"datediff_{p}", "snowflake", f"SELECT event_id, DATEDIFF({p}, TIMESTAMP '2024-01-01 10:20:30', ts) AS n FROM events", f"SELECT event_id, date_diff('{p}', TIMESTAMP '2024-01-01 10:20:30', ts) AS n FROM events") for p in ("hour", "minute", "second", "week")),
+    *((f"date_diff_{p.lower()}", "bigquery", f"SELECT o_orderkey, DATE_DIFF(CAST(o_orderdate AS DATE), DATE '1995-06-14', {p}) AS n FROM orders", f"SELECT o_orderkey, date_diff('{p.lower()}', DATE '1995-06-14', CAST(o_orderdate AS DATE)) AS n FROM orders") for p in ("DAY", "MONTH", "QUARTER", "YEAR")),
+    ("date_diff_isoweek", "bigquery", "SELECT o_orderkey, DATE_DIFF(CAST(o_orderdate AS DATE), DATE '1995-06-14', ISOWEEK) AS n FROM orders", "SELECT o_orderkey, date_diff('day', DATE '1995-06-12', CAST(date_trunc('week', o_orderdate) AS DATE)) // 7 AS n FROM orders"),
+    *((f"datediff_{p}", "snowflake", f"SELECT event_id, DATEDIFF({p}, TIMESTAMP '2024-01-01 10:20:30', ts) AS n FROM events", f"SELECT event_id, date_diff('{p}', TIMESTAMP '2024-01-01 10:20:30', ts) AS n FROM events") for p in ("hour", "minute", "second")),
     *((f"date_trunc_{p}", "redshift", f"SELECT event_id, DATE_TRUNC('{p}', ts) AS x FROM events", f"SELECT event_id, CAST(date_trunc('{p}', ts) AS TIMESTAMP) AS x FROM events") for p in ("hour", "day", "week", "month", "quarter", "year")),
     ("date_add_sub", "bigquery", "SELECT o_orderkey, DATE_ADD(CAST(o_orderdate AS DATE), INTERVAL 3 MONTH) AS a, DATE_SUB(CAST(o_orderdate AS DATE), INTERVAL 10 DAY) AS s, DATE_TRUNC(CAST(o_orderdate AS DATE), WEEK(MONDAY)) AS w FROM orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH AS DATE) AS a, CAST(CAST(o_orderdate AS DATE) - INTERVAL 10 DAY AS DATE) AS s, CAST(date_trunc('week', o_orderdate) AS DATE) AS w FROM orders"),
     ("dateadd_parts", "snowflake", "SELECT event_id, DATEADD(hour, 5, ts) AS h, DATEADD(minute, -7, ts) AS m FROM events", "SELECT event_id, ts + INTERVAL 5 HOUR AS h, ts - INTERVAL 7 MINUTE AS m FROM events"),
