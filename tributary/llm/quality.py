@@ -71,34 +71,43 @@ def repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(covered)
 
 
-def with_words(documents: DataFrame) -> DataFrame:
-    """Adds words, windows and the text's key to (id, source, text)."""
-    return documents.withColumn("words", words_of(F.col("text"))).withColumn("windows", window_hashes(F.col("words"))).withColumn(
-        "copy_key", F.coalesce(F.array_min("windows"), F.xxhash64("text"))
-    )
+def copy_key(text: Column) -> Column:
+    """What tells texts apart: the least hash of their three-word windows; for fewer words the text's own hash."""
+    return F.coalesce(let(words_of(text), lambda w: F.array_min(window_hashes(w))), F.xxhash64(text))
+
+
+def metrics(text: Column) -> Column:
+    """The base check of a text as a struct. Words and windows are bound inside the expression, so that no
+    optimizer rule can put their computation into the lambdas that go over them."""
+    lines = lines_of(text)
+
+    def told(words: Column, windows: Column) -> Column:
+        n, repeats = F.size(words).cast("bigint"), repeated_words(windows).cast("bigint")
+        return F.struct(
+            n.alias("n_words"),
+            (F.length(text) - F.regexp_count(text, F.lit(f"[{SPACE_CLASS}]"))).cast("bigint").alias("word_chars"),
+            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+            repeats.alias("n_repeat_words"),
+        )
+
+    return let(words_of(text), lambda w: let(window_hashes(w), lambda x: told(w, x)))
+
+
+def base_failed(told: Column) -> Column:
+    return (told["n_words"] < MIN_WORDS) | (100 * told["n_repeat_words"] > MAX_REPEATED_PERCENT * told["n_words"])
 
 
 def base_metrics(documents: DataFrame) -> DataFrame:
     """The base check of each row of (id, source, text): columns id, source, text_hash, n_words ... base_failed."""
-    lines = lines_of(F.col("text"))
-    counted = with_words(documents).select(
-        "id",
-        "source",
-        F.xxhash64("text").alias("text_hash"),
-        F.size("words").cast("bigint").alias("n_words"),
-        (F.length("text") - F.regexp_count(F.col("text"), F.lit(f"[{SPACE_CLASS}]"))).cast("bigint").alias("word_chars"),
-        F.regexp_count(F.col("text"), F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
-        repeated_words(F.col("windows")).cast("bigint").alias("n_repeat_words"),
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+    told = documents.select("id", "source", F.xxhash64("text").alias("text_hash"), metrics(F.col("text")).alias("told"))
+    return told.select("id", "source", "text_hash", "told.*", base_failed(F.col("told")).alias("base_failed"))
 
 
 def frequent_lines(documents: DataFrame, max_documents: int = MAX_DOCUMENTS, copy_share: float = COPY_SHARE) -> DataFrame:
     """(source, line): hashes of the lines of (id, source, text) that are above the limit in their host."""
     hashes = F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normal_line(x))))
-    lines = with_words(documents).select("source", "copy_key", F.explode(hashes).alias("line"))
+    lines = documents.select("source", copy_key(F.col("text")).alias("copy_key"), F.explode(hashes).alias("line"))
     by_text = lines.groupBy("source", "line", "copy_key").agg(F.count("*").alias("n"))
     by_line = by_text.groupBy("source", "line").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     return by_line.where((F.col("n") > max_documents) & (F.col("most") < copy_share * F.col("n"))).select("source", "line")
@@ -156,10 +165,8 @@ def clean(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
         F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"),
         F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"),
     )
-    words = F.size("words")
-    repeats = repeated_words(F.col("windows"))
-    failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEATED_PERCENT * words)
-    passed = with_words(whole).where(~failed).select("id", "source", "text", "row", F.xxhash64("text").alias("text_hash"), words.alias("n_words"))
+    told = whole.select("id", "source", "text", "row", F.xxhash64("text").alias("text_hash"), metrics(F.col("text")).alias("told"))
+    passed = told.where(~base_failed(F.col("told"))).select("id", "source", "text", "row", "text_hash", F.col("told.n_words").alias("n_words"))
     joined = null_safe_join(passed, gone, ["id", "source", "text_hash"])
     joined = joined.where(F.col("n_words") - F.coalesce("n_removed", F.lit(0)) >= min_remaining * F.col("n_words"))
     lines = F.split(F.col("text"), "\n")
