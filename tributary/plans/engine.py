@@ -13,6 +13,10 @@ from .lexer import SqlError
 from .parser import parse, parse_script
 
 
+#: A session setting that tells that the functions are there.
+REGISTERED = "spark.tributary.registered"
+
+
 def to_spark_sql(sql: str, dialect: str = "any", params: dict[str, str] | None = None) -> str:
     """The Spark SQL of one query in a dialect. `params`: time keys (CURRENT_DATE ..), GEO_MODE, VARIANT_MODE."""
     return Emitter(dialect, params).query(parse(sql, dialect))
@@ -28,9 +32,10 @@ class Engine:
         self.spark = spark
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.conf.set("spark.sql.timeType.enabled", "true")
-        text.register(spark)
-        if hasattr(geo, "register"):
+        if spark.conf.get(REGISTERED, "") != spark.sparkContext.applicationId:
+            text.register(spark)
             geo.register(spark)
+            spark.conf.set(REGISTERED, spark.sparkContext.applicationId)
 
     def sql(self, sql: str, dialect: str = "any", params: dict[str, str] | None = None) -> DataFrame:
         """One query, or a DML statement, whose result is the new state of its table."""
@@ -59,7 +64,7 @@ class Engine:
 
     def other(self, statement: t.Other, dialect: str, params: dict[str, str] | None) -> DataFrame:
         """CREATE [TEMP] VIEW or TABLE .. AS makes a temporary view; DROP takes one away."""
-        words = [w for w in statement.words if isinstance(w, str)]
+        words = [w.upper() for w in statement.words if isinstance(w, str)]
         table = next((w for w in statement.words if isinstance(w, t.Table)), None)
         if words[0] == "CREATE" and statement.query is not None and table is not None:
             frame = self.spark.sql(Emitter(dialect, params).query(statement.query))
