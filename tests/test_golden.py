@@ -4,10 +4,12 @@ from pathlib import Path
 
 import pytest
 
+import tributary
+
 from tributary.plans.engine import Engine, to_spark_sql
 from tributary.plans.lexer import SqlError
 
-CASES = [line.split("\t") for line in (Path(__file__).parent / "golden.tsv").read_text(encoding="utf-8").splitlines() if line]
+CASES = [line.split("\t") for line in (Path(tributary.__file__).parent / "cases.tsv").read_text(encoding="utf-8").splitlines() if line]
 
 
 @pytest.fixture(scope="module")

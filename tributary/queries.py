@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import tree as t
+from .plans.emit import Emitter
 from .plans.engine import Engine
 from .plans.parser import parse
 
@@ -222,3 +225,49 @@ EXTRA_ORACLES = {
     "schema_diff": "SELECT * FROM (VALUES ('n_nationkey', 'UNCHANGED'), ('n_name', 'MODIFIED'), ('n_regionkey', 'ADDED'), ('gone', 'REMOVED')) AS v(name, status)",
     "replace_tables": "SELECT n_name FROM nation",
 }
+
+
+# Literal cases of each dialect
+
+
+def cases() -> list[list[str]]:
+    """(dialect, expression, value as Python prints it)."""
+    text = (Path(__file__).parent / "cases.tsv").read_text(encoding="utf-8")
+    return [line.split("\t") for line in text.splitlines() if line]
+
+
+def as_spark_text(value: str) -> str | None:
+    """A printed Python value as Spark casts it to a string."""
+    if value in {"None", "True", "False", "inf"}:
+        return {"None": None, "True": "true", "False": "false", "inf": "Infinity"}[value]
+    if value.startswith("[") and value.endswith("]"):
+        try:
+            items = ast.literal_eval(value)
+        except (ValueError, SyntaxError):
+            return value
+        return value if '"' in value or ("," in value and ", " not in value) else "[" + ", ".join("null" if x is None else str(x) for x in items) + "]"
+    return value
+
+
+def literals(dialect: str):
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine, parts = Engine(spark), []
+        for _, expression, _ in (c for c in cases() if c[0] == dialect):
+            node = parse(f"SELECT {expression}", dialect)
+            (item,) = node.items
+            node.items = [t.Item(t.Text(expression), "expression"), t.Item(t.Cast(item.value, "STRING"), "value")]
+            parts.append(f"({Emitter(dialect).query(node)})")
+        return engine.spark.sql(" UNION ALL ".join(parts))
+
+    return build
+
+
+def literal_oracle(dialect: str) -> str:
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(e)}, {quoted(as_spark_text(v))})" for d, e, v in cases() if d == dialect)
+    return f"SELECT CAST(expression AS VARCHAR) AS expression, CAST(value AS VARCHAR) AS value FROM (VALUES {rows}) AS v(expression, value)"
+
+
+for _dialect in ("any", "bigquery", "redshift", "snowflake", "databricks"):
+    EXTRA[f"literals_{_dialect}"] = literals(_dialect)
+    EXTRA_ORACLES[f"literals_{_dialect}"] = literal_oracle(_dialect)
