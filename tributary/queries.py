@@ -240,12 +240,12 @@ def as_spark_text(value: str) -> str | None:
     """A printed Python value as Spark casts it to a string."""
     if value in {"None", "True", "False", "inf"}:
         return {"None": None, "True": "true", "False": "false", "inf": "Infinity"}[value]
-    if value.startswith("[") and value.endswith("]"):
-        try:
-            items = ast.literal_eval(value)
-        except (ValueError, SyntaxError):
-            return value
-        return value if '"' in value or ("," in value and ", " not in value) else "[" + ", ".join("null" if x is None else str(x) for x in items) + "]"
+    try:
+        items = ast.literal_eval(value) if value.startswith("[") else None
+    except (ValueError, SyntaxError):
+        items = None
+    if items is not None and str(items) == value:
+        return "[" + ", ".join("null" if x is None else str(x) for x in items) + "]"
     return value
 
 
