@@ -18,6 +18,7 @@ at most two comparisons; Spark's own map type would search it linearly.
 from __future__ import annotations
 
 import base64
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -62,6 +63,7 @@ class Ranks:
                     found[char_of(left) + char_of(right)] = rank
         return found
 
+    @functools.cached_property
     def table(self) -> list[tuple[str, int]]:
         """The pairs in a cuckoo table of (pair, id), ("", 0) where empty; its size is a power of two."""
         pairs = self.pairs()
@@ -223,7 +225,7 @@ def encode(documents: DataFrame, ranks: Ranks, id_column: str = "doc_id", text_c
     Null texts count as empty and give an empty array; null ids, ties and repeated rows are kept row by row;
     very long texts become blocks of their own; further columns are dropped.
     """
-    table = ranks.table()
+    table = ranks.table
     rows = pick(documents, key=id_column, text=text_column).select(F.col("key").cast("bigint"), "text")
     kinds = "keys array<bigint>, counts array<int>, numbers array<int>, first int, words array<string>"
     blocks = rows.mapInArrow(split_blocks(ranks.ranks, ranks.pattern, block_chars), kinds)

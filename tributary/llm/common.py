@@ -33,7 +33,20 @@ def cut(frame: DataFrame) -> DataFrame:
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return frame.checkpoint(eager=True)
+    done = frame.checkpoint(eager=True)
+    tidy(frame.sparkSession)
+    return done
+
+
+def tidy(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect garbage where its heap has grown past half of its bound.
+
+    Shuffle files and plans of lineage that was cut go only when the driver collects; it hardly does by itself while
+    executors do the work, so that its heap and the executors' disks would fill.
+    """
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > 0.5 * runtime.maxMemory():
+        spark.sparkContext._jvm.System.gc()
 
 
 def let(value: Column, body) -> Column:

@@ -165,8 +165,9 @@ def clean(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
         F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"),
         F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"),
     )
-    told = whole.select("id", "source", "text", "row", F.xxhash64("text").alias("text_hash"), metrics(F.col("text")).alias("told"))
-    passed = told.where(~base_failed(F.col("told"))).select("id", "source", "text", "row", "text_hash", F.col("told.n_words").alias("n_words"))
+    told = whole.select("id", "source", "text", "row", F.xxhash64("text").alias("text_hash"), metrics(F.col("text")).alias("told"), F.monotonically_increasing_id().alias("at"))
+    # The row's number keeps the filter above the projection: below it, the metrics would be computed for each use.
+    passed = told.where(~base_failed(F.col("told")) & (F.col("at") >= 0)).select("id", "source", "text", "row", "text_hash", F.col("told.n_words").alias("n_words"))
     joined = null_safe_join(passed, gone, ["id", "source", "text_hash"])
     joined = joined.where(F.col("n_words") - F.coalesce("n_removed", F.lit(0)) >= min_remaining * F.col("n_words"))
     lines = F.split(F.col("text"), "\n")

@@ -6,6 +6,7 @@ parameters, and derive the digest columns that their result asks for.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -29,6 +30,7 @@ URL_RULES = [
 END_ID = 2
 
 
+@functools.cache
 def multi_ranks() -> bpe.Ranks:
     return bpe.Ranks.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
