@@ -60,6 +60,8 @@ def interval(e, value: t.Node, unit: str) -> str:
     text = e.expr(value)
     if isinstance(value, t.Text):
         text = value.value.strip()
+    if re.fullmatch(r"-?\d+", text) and e.dialect not in {"bigquery", "redshift"} and unit in {"YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND"}:
+        return f"INTERVAL '{text}' {unit}"  # whole days keep a date a date
     if unit == "QUARTER":
         return f"make_ym_interval(0, 3 * ({text}))"
     if unit in {"YEAR", "MONTH"}:
