@@ -107,7 +107,9 @@ def base_metrics(documents: DataFrame) -> DataFrame:
 def frequent_lines(documents: DataFrame, max_documents: int = MAX_DOCUMENTS, copy_share: float = COPY_SHARE) -> DataFrame:
     """(source, line): hashes of the lines of (id, source, text) that are above the limit in their host."""
     hashes = F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normal_line(x))))
-    lines = documents.select("source", copy_key(F.col("text")).alias("copy_key"), F.explode(hashes).alias("line"))
+    # Keys come before the explosion, once for each text.
+    keyed = documents.select("source", copy_key(F.col("text")).alias("copy_key"), hashes.alias("hashes"))
+    lines = keyed.select("source", "copy_key", F.explode("hashes").alias("line"))
     by_text = lines.groupBy("source", "line", "copy_key").agg(F.count("*").alias("n"))
     by_line = by_text.groupBy("source", "line").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     return by_line.where((F.col("n") > max_documents) & (F.col("most") < copy_share * F.col("n"))).select("source", "line")
