@@ -285,7 +285,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round. A node with very many edges only meets partial minima and joins that Spark can split. Up to
     `FEW_EDGES` edges make one partition, in which rounds need no exchange.
     """
-    both = cut(edges.union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct())
+    ways = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = cut(edges.where("a <> b").select(ways.alias("e")).select("e.a", "e.b").distinct())
     if both.count() <= FEW_EDGES:
         both = cut(both.coalesce(1))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
@@ -339,15 +340,15 @@ def components(documents: DataFrame, percent: int = 80, width: int = SHINGLE, id
     buckets = keys.groupBy("band", "key").agg(F.min("rep").alias("low"), F.count("*").alias("c")).where("c > 1").select("band", "key", "low")
     edges = keys.join(buckets, ["band", "key"]).select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
     clusters = connected_components(edges).withColumnsRenamed({"node": "rep", "component": "cluster"})
-    chosen = classes.join(clusters, "rep")
+    chosen = cut(classes.join(clusters, "rep"))
     weights = chosen.groupBy("cluster").agg(F.sum("n").alias("weight"))
-    chosen = chosen.join(weights, "cluster").select("rep", *own, "sketch", "cluster", "weight")
+    chosen = cut(chosen.join(weights, "cluster").select("rep", *own, "sketch", "cluster", "weight"))
     # Of rows with the same id, the one whose set is the class's gives the text.
-    texts = rows.join(chosen.select("rep").distinct(), rows["id"] == F.col("rep"), "left_semi")
+    texts = rows.join(chosen.select("rep"), rows["id"] == F.col("rep"), "left_semi")
     texts = texts.mapInArrow(keep_text(width), "id bigint, digest_a bigint, digest_b bigint, n bigint, text string").dropDuplicates(["id", *own])
     members = cut(chosen.join(texts.withColumnRenamed("id", "rep"), ["rep", *own]).select("cluster", F.col("rep").alias("id"), "n", "sketch", "text", "weight"))
     light = members.where(F.col("weight") <= max_weight).select("cluster", "id", "sketch", "text")
-    light = light.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(resolve_clusters(percent, width), "id bigint, component bigint")
+    light = cut(light.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(resolve_clusters(percent, width), "id bigint, component bigint"))
     links = light.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     heavy = members.where(F.col("weight") > max_weight)
     if not heavy.isEmpty():
@@ -358,7 +359,7 @@ def components(documents: DataFrame, percent: int = 80, width: int = SHINGLE, id
         membership = cut(real.join(several, "id", "left_semi").join(classes.drop("sketch"), own).select("id", "rep"))
         links = links.union(membership.join(membership.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b")).where("a <> b"))
     found = connected_components(links).withColumnsRenamed({"node": "rep", "component": "least"})
-    labels = classes.drop("sketch").join(found, "rep", "left").select(*own, F.coalesce("least", "rep").alias("least"))
+    labels = cut(classes.drop("sketch").join(found, "rep", "left").select(*own, F.coalesce("least", "rep").alias("least")))
     told = sketched.select("id", *own).join(labels, own, "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")))
     return told.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
