@@ -97,7 +97,9 @@ def test_estimate_follows_similarity():
     assert near_dup.band_count(0.85) == 22
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("few", [0, near_dup.FEW_EDGES])
+def test_connected_components(spark, few, monkeypatch):
+    monkeypatch.setattr(near_dup, "FEW_EDGES", few)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (101, 102), (7, 7)] + [(200, 200 + i) for i in range(1, 300)]
     got = {r["node"]: r["component"] for r in near_dup.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100 and got[499] == 200

@@ -64,13 +64,13 @@ class Ranks:
         return found
 
     @functools.cached_property
-    def table(self) -> list[tuple[str, int]]:
-        """The pairs in a cuckoo table of (pair, id), ("", 0) where empty; its size is a power of two."""
+    def table(self) -> tuple[int, str, str]:
+        """The pairs in a cuckoo table: its size, a power of two, its pairs ("" where empty) and its ids, joined by commas."""
         pairs = self.pairs()
         size = 1 << max(4, (len(pairs) * 9 // 4).bit_length() - 1)
         while (table := place(pairs, size)) is None:
             size *= 2
-        return table
+        return size, ",".join(p for p, _ in table), ",".join(str(r) for _, r in table)
 
 
 def char_of(token: int) -> str:
@@ -104,9 +104,9 @@ def place(pairs: dict[str, int], size: int) -> list[tuple[str, int]] | None:
     return table
 
 
-def literal(values: list[str]) -> Column:
-    """A string array as a foldable expression; the optimizer turns it into one literal."""
-    return F.split(F.lit(",".join(values)), ",")
+def literal(joined: str) -> Column:
+    """A string array, given joined by commas, as a foldable expression; the optimizer turns it into one literal."""
+    return F.split(F.lit(joined), ",")
 
 
 def fold_merges(word: Column, pairs: Column, ranks: Column, chars: Column, size: int) -> Column:
@@ -225,13 +225,13 @@ def encode(documents: DataFrame, ranks: Ranks, id_column: str = "doc_id", text_c
     Null texts count as empty and give an empty array; null ids, ties and repeated rows are kept row by row;
     very long texts become blocks of their own; further columns are dropped.
     """
-    table = ranks.table
+    size, table, ids = ranks.table
     rows = pick(documents, key=id_column, text=text_column).select(F.col("key").cast("bigint"), "text")
     kinds = "keys array<bigint>, counts array<int>, numbers array<int>, first int, words array<string>"
     blocks = rows.mapInArrow(split_blocks(ranks.ranks, ranks.pattern, block_chars), kinds)
-    pairs, made = literal([p for p, _ in table]), literal([str(r) for _, r in table]).cast("array<int>")
-    chars = literal([char_of(i) for i in range(max(ranks.ranks.values()) + 1)])
-    fold = lambda p, r, c: F.transform("words", lambda w: fold_merges(w, p, r, c, len(table)))
+    pairs, made = literal(table), literal(ids).cast("array<int>")
+    chars = literal(",".join(char_of(i) for i in range(max(ranks.ranks.values()) + 1)))
+    fold = lambda p, r, c: F.transform("words", lambda w: fold_merges(w, p, r, c, size))
     folded = let(pairs, lambda p: let(made, lambda r: let(chars, lambda c: fold(p, r, c))))
     joined = blocks.select("keys", "counts", "numbers", "first", folded.alias("words")).mapInArrow(join_blocks, "key bigint, ids array<int>")
     return joined.select(F.col("key").alias(id_column), "ids")
