@@ -25,7 +25,7 @@ QUERIES: list[tuple[str, str, str, str | None]] = [
     ("piped_extend_set_drop", "bigquery", "FROM orders |> WHERE o_orderstatus = 'F' |> EXTEND o_totalprice * 2 AS twice |> SET o_orderpriority = LOWER(o_orderpriority) |> DROP o_orderdate, o_custkey", "SELECT o_orderkey, o_orderstatus, o_totalprice, lower(o_orderpriority) AS o_orderpriority, o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus = 'F'"),
     ("piped_rename_as", "bigquery", "FROM nation |> RENAME n_name AS label |> AS n |> WHERE n.n_nationkey < 9 |> SELECT n.label, n.n_nationkey", "SELECT n_name AS label, n_nationkey FROM nation WHERE n_nationkey < 9"),
     ("piped_limit_where", "bigquery", "FROM nation |> ORDER BY n_nationkey |> LIMIT 5 OFFSET 2 |> WHERE n_regionkey > 0 |> SELECT n_nationkey", "SELECT n_nationkey FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 2) WHERE n_regionkey > 0"),
-    ("piped_window", "bigquery", "FROM customer |> WINDOW RANK() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r |> WHERE r <= 2 |> SELECT c_custkey, r", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer QUALIFY r <= 2"),
+    ("piped_window", "bigquery", "FROM customer |> WINDOW RANK() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r |> WHERE r <= 2 |> SELECT c_custkey, r", "SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INT) AS r FROM customer QUALIFY r <= 2"),
     ("piped_setops", "bigquery", "FROM nation |> SELECT n_regionkey AS k |> UNION ALL (SELECT r_regionkey FROM region), (SELECT 9) |> EXCEPT DISTINCT (SELECT 0)", "(SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region UNION ALL SELECT 9) EXCEPT SELECT 0"),
     ("piped_join_distinct", "bigquery", "FROM orders |> JOIN customer ON o_custkey = c_custkey |> SELECT DISTINCT c_mktsegment, o_orderstatus", "SELECT DISTINCT c_mktsegment, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey"),
     ("piped_pivot", "bigquery", "FROM orders |> SELECT o_orderpriority, o_orderstatus, o_orderkey |> PIVOT(COUNT(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p)) |> SELECT o_orderpriority, COALESCE(f, 0) AS f, COALESCE(o, 0) AS o, COALESCE(p, 0) AS p", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1"),
@@ -35,7 +35,7 @@ QUERIES: list[tuple[str, str, str, str | None]] = [
     ("top_n", "redshift", "SELECT TOP 10 o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     ("fetch_first", "any", "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 5 ROWS FETCH NEXT 7 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 5"),
     ("qualify_topk", "snowflake", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2", None),
-    ("qualify_alias", "snowflake", "SELECT s_nationkey, s_suppkey, RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r FROM supplier WHERE s_acctbal > 0 QUALIFY r = 1", None),
+    ("qualify_alias", "snowflake", "SELECT s_nationkey, s_suppkey, RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r FROM supplier WHERE s_acctbal > 0 QUALIFY r = 1", "SELECT s_nationkey, s_suppkey, CAST(RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS INT) AS r FROM supplier WHERE s_acctbal > 0 QUALIFY r = 1"),
     ("star_except", "bigquery", "SELECT * EXCEPT (o_orderdate, o_custkey) FROM orders", "SELECT * EXCLUDE (o_orderdate, o_custkey) FROM orders"),
     ("star_replace", "bigquery", "SELECT * EXCEPT (o_orderdate) REPLACE (o_totalprice / 2 AS o_totalprice) FROM orders", "SELECT * EXCLUDE (o_orderdate) REPLACE (o_totalprice / 2 AS o_totalprice) FROM orders"),
     ("dual", "any", "SELECT 1 AS one, 'x' AS x FROM dual", "SELECT 1 AS one, 'x' AS x"),
