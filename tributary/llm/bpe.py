@@ -166,7 +166,8 @@ def split_blocks(ranks: dict[bytes, int], pattern: str, block_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, number = splitter(pattern), Numbers()
-        rows = ((k, t or "") for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        # Texts leave their Arrow batch one by one: a batch's strings all at once would be as large as the batch again.
+        rows = ((k.as_py(), t.as_py() or "") for batch in batches for k, t in zip(batch.column(0), batch.column(1)))
         for keys, texts in blocks(rows):
             if len(number) > MAX_WORDS:
                 number.clear()
