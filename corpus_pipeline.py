@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of a mix with tempered source weights, up to where a source runs out."""
+    """All documents in the order of a mix with tempered source weights; a source that runs out leaves it."""
     return mixing.mix(docs)
 
 

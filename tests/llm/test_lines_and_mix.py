@@ -119,3 +119,23 @@ def test_mixing_odd_rows(spark):
     told = Counter((r["doc_id"], r["source"]) for r in rows if r["in_mix"])
     assert sum(got.values()) == sum(told.values()) and got[1, "t1"] == told[1, "hot"]
     assert mixing.schedule(frame.limit(0)).count() == 0 and mixing.mix(frame.limit(0)).count() == 0
+
+
+def test_mix_goes_on_when_a_source_runs_out(spark):
+    sizes = {"hot": 3000, "large": 2000, "tiny": 3, None: 2}
+    data = [(k, s, f"{s} {i}") for k, (s, i) in enumerate((s, i) for s, n in sizes.items() for i in range(n))]
+    frame = spark.createDataFrame(data, "doc_id long, source string, text string")
+    rows = mixing.schedule(frame, block=2, period=64).collect()
+    assert all(r["in_mix"] for r in rows) and len({r["position"] for r in rows}) == len(data)
+    slots = mixing.shares(mixing.tempered({s or "": n for s, n in sizes.items()}, mixing.EXPONENT), 64)
+    done, share = Counter(), slots["hot"] / (slots["hot"] + slots["large"])
+    for _, s in sorted({(r["slot"], r["source"]) for r in rows}):
+        done[s] += 1
+        if done["large"] < 1000 and done["hot"] < 1500:
+            assert abs(done["hot"] - share * (done["hot"] + done["large"])) <= 2
+    order = {r["doc_id"]: r["position"] for r in rows}
+    got = [r["doc_id"] for r in mixing.mix(frame, block=2, period=64).collect()]
+    assert got == sorted(order, key=order.get)
+    twice = [r["text"] for r in mixing.mix(frame.union(frame.where("source is null")), block=2, period=64).collect()]
+    assert Counter(twice) == Counter([t for *_, t in data] + ["None 0", "None 1"])
+    assert not all(r["in_mix"] for r in mixing.schedule(frame, block=2, period=64, whole=False).collect())

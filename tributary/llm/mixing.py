@@ -5,6 +5,7 @@ run from slot floor(j / w) and must have run by slot ceil((j + 1) / w); earliest
 released blocks then keeps every source within one block of its weight at every slot. Weights are
 rounded to multiples of 1 / period, so the schedule repeats after `period` slots: one period is planned on
 the driver (a list of `period` source names), and each row finds its slot from its block number alone.
+Slots of a source that has no block left stay empty, so the others go on with their weights renormalised.
 
 Row numbers within a source come from counts of small hashed cells, so that a source with a third of all rows
 is numbered by many tasks.
@@ -63,11 +64,12 @@ def tempered(counts: dict[str, int], exponent: float) -> dict[str, float]:
     return {s: n**exponent for s, n in counts.items()}
 
 
-def schedule(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, exponent: float = EXPONENT, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
+def schedule(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, exponent: float = EXPONENT, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", whole: bool | None = None) -> DataFrame:
     """(id, source, text_hash, block, slot, position, in_mix) for each row.
 
-    `position` orders the mix. It ends with the slot in which the first source has no block left; rows
-    from there on have in_mix false. Without `weights` targets are the sources' sizes to the power `exponent`. Sources without
+    `position` orders the mix, with gaps. A `whole` mix has all rows of its sources: one that has no block left leaves, and
+    the others go on. Else it ends with the slot in which the first source has no block left, and rows from there on have
+    in_mix false. By default a mix is whole unless `weights` are given. Without `weights` targets are the sources' sizes to the power `exponent`. Sources without
     a weight have no slot and aren't in the mix. A null source is the source ''; rows with equal ids are
     ordered by text, null ids first; identical rows have positions of their own, in either order. An empty table gives an
     empty schedule. Further columns are dropped.
@@ -78,6 +80,7 @@ def schedule(documents: DataFrame, weights: dict[str, float] | None = None, bloc
     if len(found) > MAX_SOURCES:
         raise ValueError(f"a mix has at most {MAX_SOURCES} sources")
     counts = {r["source"]: r["n"] for r in found}
+    whole = weights is None if whole is None else whole
     weights = tempered(counts, exponent) if weights is None else {s: w for s, w in weights.items() if w > 0 and s in counts}
     slots = shares(weights, max(period, 8 * len(weights))) if weights else {}
     plan = plan_period(slots)
@@ -108,23 +111,22 @@ def schedule(documents: DataFrame, weights: dict[str, float] | None = None, bloc
         "block",
         "slot",
         (F.col("slot") * block + F.pmod("number", F.lit(block))).alias("position"),
-        (F.coalesce(F.col("slot") < end, F.lit(False))).alias("in_mix"),
+        (F.col("slot").isNotNull() if whole else F.coalesce(F.col("slot") < end, F.lit(False))).alias("in_mix"),
     )
 
 
-def mix(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, exponent: float = EXPONENT, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
-    """The documents of the mix, in the columns of the input: those that `schedule` has before a source runs out.
+def mix(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, exponent: float = EXPONENT, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", whole: bool | None = None) -> DataFrame:
+    """The documents of the mix in its order, in the columns of the input: those that `schedule` has in it.
 
     Rows that agree in id, source and text are in the mix as often as the schedule has them in it.
     """
-    chosen = schedule(documents, weights, block, period, exponent, id_column, source_column, text_column).where("in_mix")
-    chosen = chosen.select(F.col(id_column).alias("mix_id"), F.col("source").alias("mix_source"), F.col("text_hash").alias("mix_hash"))
-    chosen = chosen.groupBy("mix_id", "mix_source", "mix_hash").agg(F.count("*").alias("mix_n"))
-    order = Window.partitionBy("mix_key_id", "mix_key_source", "mix_key_hash").orderBy(F.lit(1))
+    chosen = schedule(documents, weights, block, period, exponent, id_column, source_column, text_column, whole).where("in_mix")
+    chosen = chosen.select(F.col(id_column).alias("mix_id"), F.col("source").alias("mix_source"), F.col("text_hash").alias("mix_hash"), F.col("position").alias("mix_position"))
     keys = {"mix_key_id": F.col(f"`{id_column}`"), "mix_key_source": F.coalesce(F.col(f"`{source_column}`"), F.lit("")), "mix_key_hash": F.xxhash64(F.col(f"`{text_column}`"))}
     same = F.col("mix_key_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_key_source") == F.col("mix_source")) & (F.col("mix_key_hash") == F.col("mix_hash"))
-    joined = documents.select("*", *(v.alias(k) for k, v in keys.items())).join(chosen, same)
-    repeated = chosen.where("mix_n > 1")
-    if repeated.isEmpty():
-        return joined.select(documents.columns)
-    return joined.withColumn("mix_rank", F.row_number().over(order)).where("mix_rank <= mix_n").select(documents.columns)
+    rows = documents.select("*", *(v.alias(k) for k, v in keys.items()))
+    if not chosen.groupBy("mix_id", "mix_source", "mix_hash").count().where("count > 1").isEmpty():
+        chosen = chosen.withColumn("mix_rank", F.row_number().over(Window.partitionBy("mix_id", "mix_source", "mix_hash").orderBy("mix_position")))
+        rows = rows.withColumn("mix_key_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+        same = same & (F.col("mix_key_rank") == F.col("mix_rank"))
+    return rows.join(chosen, same).orderBy("mix_position").select(documents.columns)
