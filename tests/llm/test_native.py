@@ -78,6 +78,31 @@ def test_quality_odd_rows(spark):
     assert quality.judge(docs.limit(0)).count() == 0 and quality.clean(docs.limit(0)).count() == 0
 
 
+def test_templates_go_and_copies_stay(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    data, removed, base = [], {}, 0
+    for share in (80, 90, 95):
+        for k in range(4):
+            template = "\n".join(line(share // 5) for _ in range(5))
+            data += [(base + i, f"{share} {k}", f"{template}\n{line(100 - share)}") for i in range(30)]
+            removed |= {base + i: share for i in range(30)}
+            base += 30
+    for k in range(4):
+        whole = [line(25) for _ in range(6)]
+        for i in range(30):
+            x = list(whole)
+            if i % 3:
+                at, words = i % 6, x[i % 6].split()
+                words[rng.randrange(25)] = line(1)
+                x[at] = " ".join(words)
+            data.append((base + i, f"copies {k}", "\n".join(x)))
+            removed[base + i] = 0
+        base += 30
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in quality.judge(docs).collect()} == removed
+
+
 def brute_edits(data):
     order = sorted(((i, t or "") for i, t in data), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
     out = []

@@ -3,11 +3,13 @@
 Lines are normalised and hashed; for each host (the `source` of a document) the operator counts how many
 distinct documents hold a line. Lines above the limit are removed, and documents of which too little
 remains are rejected. Copies of one document would push all their lines over any limit, so a line only
-counts as boilerplate if no single text accounts for most of its documents; texts are told apart by the
-smallest hash among their three-word windows, which a copy with a few edits nearly always shares.
+counts as boilerplate if no single text accounts for most of its documents. Texts are told apart by the
+smallest hash among the three-word windows of what they have of their own: lines that are neither above the limit nor
+edits of such lines (which share one of their least window hashes with them). Texts without lines of their own,
+as exact or edited copies, are told apart by the smallest hash of all their lines.
 
-Everything is one row-local pass plus two aggregations with map-side combine and one join of hashes;
-texts are never shuffled by the query. A hot line or host only meets partial counts.
+Lines are reduced to hashes row by row, and aggregations and joins are of hashes only; texts are never shuffled by
+the query. Keys are only made for documents that hold a line above the limit. A hot line or host meets partial counts.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 MAX_DOCUMENTS = 20
 #: ... unless one text makes up at least this share of them.
 COPY_SHARE = 0.5
+#: Least window hashes kept of a line.
+SKETCH = 4
 #: A document is depleted if less than this share of its words remains.
 MIN_REMAINING = 0.2
 
@@ -71,9 +75,14 @@ def repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(covered)
 
 
-def copy_key(text: Column) -> Column:
-    """What tells texts apart: the least hash of their three-word windows; for fewer words the text's own hash."""
-    return F.coalesce(let(words_of(text), lambda w: F.array_min(window_hashes(w))), F.xxhash64(text))
+def line_sketches(text: Column) -> Column:
+    """The distinct lines of a text: their hashes and their least window hashes, in order; none for fewer than three words."""
+
+    def told(line: Column) -> Column:
+        windows = let(F.filter(F.split(line, " "), lambda w: w != ""), window_hashes)
+        return F.struct(F.xxhash64(line).alias("line"), F.slice(F.sort_array(F.array_distinct(windows)), 1, SKETCH).alias("sketch"))
+
+    return F.array_distinct(F.transform(lines_of(text), lambda x: let(normal_line(x), told)))
 
 
 def metrics(text: Column) -> Column:
@@ -106,13 +115,24 @@ def base_metrics(documents: DataFrame) -> DataFrame:
 
 def frequent_lines(documents: DataFrame, max_documents: int = MAX_DOCUMENTS, copy_share: float = COPY_SHARE) -> DataFrame:
     """(source, line): hashes of the lines of (id, source, text) that are above the limit in their host."""
-    hashes = F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normal_line(x))))
-    # Keys come before the explosion, once for each text.
-    keyed = documents.select("source", copy_key(F.col("text")).alias("copy_key"), hashes.alias("hashes"))
-    lines = keyed.select("source", "copy_key", F.explode("hashes").alias("line"))
-    by_text = lines.groupBy("source", "line", "copy_key").agg(F.count("*").alias("n"))
+    host, text = ["source"], ["source", "text_hash"]
+    texts = documents.select("source", F.xxhash64("text").alias("text_hash"), line_sketches(F.col("text")).alias("lines"))
+    texts = texts.groupBy(*text).agg(F.first("lines").alias("lines"), F.count("*").alias("n"))
+    lines = texts.select(*text, "n", F.explode("lines.line").alias("line"))
+    over = lines.groupBy("source", "line").agg(F.sum("n").alias("n")).where(F.col("n") > max_documents).select("source", "line")
+    held = lines.join(over, ["source", "line"], "left_semi").groupBy(*text).agg(F.collect_set("line").alias("over"))
+    holders = texts.join(held, text)
+    rest = holders.select(*text, F.explode(F.filter("lines", lambda x: (F.size(x["sketch"]) > 0) & ~F.array_contains("over", x["line"]))).alias("told")).select(*text, "told.*")
+    # Lines that share a least window hash with one over the limit are edits of it.
+    common = holders.select(*host, F.explode(F.filter("lines", lambda x: F.array_contains("over", x["line"]))).alias("told"))
+    common = common.select(*host, F.explode("told.sketch").alias("window")).distinct()
+    edits = rest.select(*host, "line", F.explode("sketch").alias("window")).distinct().join(common, ["source", "window"], "left_semi").select("source", "line").distinct()
+    own = rest.join(edits, ["source", "line"], "left_anti").groupBy(*text).agg(F.min(F.get("sketch", F.lit(0))).alias("own_key"))
+    whole_key = F.array_min(F.transform("lines", lambda x: F.get(x["sketch"], F.lit(0))))
+    keyed = holders.join(own, text, "left").select("source", "n", F.coalesce("own_key", whole_key, "text_hash").alias("copy_key"), F.explode("over").alias("line"))
+    by_text = keyed.groupBy("source", "line", "copy_key").agg(F.sum("n").alias("n"))
     by_line = by_text.groupBy("source", "line").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    return by_line.where((F.col("n") > max_documents) & (F.col("most") < copy_share * F.col("n"))).select("source", "line")
+    return by_line.where(F.col("most") < copy_share * F.col("n")).select("source", "line")
 
 
 def removed_lines(documents: DataFrame, frequent: DataFrame) -> DataFrame:
