@@ -24,3 +24,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_safe_cast_has_all_events(spark, sf_dir):
+    got = {r["event_id"]: r["v"] for r in queries.queries()["safe_cast_all"](spark, sf_dir).collect()}
+    values = {r["event_id"]: r["value"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect()}
+    away = {i: int(abs(x) + 0.5) * (1 if x > 0 else -1) for i, x in values.items() if x is not None and abs(x) % 1 == 0.5}
+    assert set(got) == set(values) and away and {i: got[i] for i in away} == away

@@ -46,6 +46,7 @@ QUERIES: list[tuple[str, str, str, str | None]] = [
     ("case_in_between", "any", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity BETWEEN 10 AND 20 THEN 'mid' WHEN l_quantity > 20 THEN 'high' ELSE 'low' END AS band FROM lineitem WHERE l_returnflag IN ('A', 'R')", None),
     ("select_as_struct", "bigquery", "SELECT s.value_table.k AS k, s.value_table.n AS n FROM (SELECT AS STRUCT n_nationkey AS k, n_name AS n FROM nation) AS s", "SELECT n_nationkey AS k, n_name AS n FROM nation"),
     ("safe_cast", "bigquery", "SELECT event_id, SAFE_CAST(event_type AS INT64) AS bad, CAST(value AS INT64) AS v FROM events WHERE event_id < 50", "SELECT event_id, try_cast(event_type AS BIGINT) AS bad, CAST(value AS BIGINT) AS v FROM events WHERE event_id < 50"),
+    ("safe_cast_all", "bigquery", "SELECT event_id, SAFE_CAST(event_type AS INT64) AS bad, CAST(value AS INT64) AS v FROM events", "SELECT event_id, try_cast(event_type AS BIGINT) AS bad, CAST(round(value) AS BIGINT) AS v FROM events"),
     ("cte_nested", "any", "WITH a AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey), b AS (SELECT * FROM a WHERE total > 100000) SELECT c_name, total FROM b JOIN customer ON c_custkey = o_custkey", None),
     ("recursive_cte", "any", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT n FROM r", None),
     ("set_operations", "any", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier MINUS SELECT r_regionkey FROM region", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT r_regionkey FROM region"),
