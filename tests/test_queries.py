@@ -31,3 +31,9 @@ def test_safe_cast_has_all_events(spark, sf_dir):
     values = {r["event_id"]: r["value"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect()}
     away = {i: int(abs(x) + 0.5) * (1 if x > 0 else -1) for i, x in values.items() if x is not None and abs(x) % 1 == 0.5}
     assert set(got) == set(values) and away and {i: got[i] for i in away} == away
+
+
+def test_unnest_has_all_elements(spark, sf_dir):
+    sizes = {r["vec_id"]: len(r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    got = queries.queries()["unnest_embedding_all"](spark, sf_dir).groupBy("vec_id").count().collect()
+    assert {r["vec_id"]: r["count"] for r in got} == sizes

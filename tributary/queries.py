@@ -134,6 +134,7 @@ QUERIES: list[tuple[str, str, str, str | None]] = [
     ("arr_position", "snowflake", "SELECT n_nationkey, ARRAY_POSITION(n_regionkey, ARRAY_CONSTRUCT(4, 3, 2, 1)) AS p, ARRAY_CONTAINS(n_regionkey, ARRAY_CONSTRUCT(1, 2)) AS c FROM nation", "SELECT n_nationkey, CAST(list_position([4, 3, 2, 1], n_regionkey) - 1 AS BIGINT) AS p, list_contains([1, 2], n_regionkey) AS c FROM nation"),
     ("arr_compact", "snowflake", "SELECT n_nationkey, ARRAY_SIZE(ARRAY_CONSTRUCT_COMPACT(n_regionkey, NULLIF(n_regionkey, 1), NULL)) AS n FROM nation", "SELECT n_nationkey, CAST(CASE WHEN n_regionkey = 1 THEN 1 ELSE 2 END AS INT) AS n FROM nation"),
     ("unnest_embedding", "bigquery", "SELECT vec_id, o, ROUND(CAST(x AS FLOAT64), 5) AS x FROM embeddings, UNNEST(embedding) AS x WITH OFFSET AS o WHERE o < 3", "SELECT vec_id, CAST(o - 1 AS INT) AS o, round(CAST(embedding[o] AS DOUBLE), 5) AS x FROM embeddings, unnest([1, 2, 3]) AS u(o)"),
+    ("unnest_embedding_all", "bigquery", "SELECT vec_id, o, CAST(x AS FLOAT64) AS x FROM embeddings, UNNEST(embedding) AS x WITH OFFSET AS o", "SELECT vec_id, CAST(o - 1 AS INT) AS o, CAST(embedding[o] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(o)"),
     ("split_to_table", "snowflake", "SELECT p_partkey, s.index, s.value FROM part, LATERAL SPLIT_TO_TABLE(p_type, ' ') AS s WHERE s.index > 0", "SELECT p_partkey, CAST(i AS INT) AS index, string_split(p_type, ' ')[i] AS value FROM part, unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS u(i)"),
     ("generator", "snowflake", "SELECT seq4 AS n FROM TABLE(GENERATOR(ROWCOUNT => 50))", "SELECT range AS n FROM range(50)"),
     ("array_subquery", "bigquery", "SELECT n_nationkey, ARRAY_LENGTH(ARRAY(SELECT x * 2 FROM UNNEST([1, 2, 3]) AS x WHERE x > 1)) AS n FROM nation", "SELECT n_nationkey, 2::INT AS n FROM nation"),
