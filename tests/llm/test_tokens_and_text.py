@@ -179,3 +179,16 @@ def test_guess_cost_is_the_least_of_all_segmentations():
     for _ in range(300):
         value = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 6)))
         assert secret_scan.guess_bits(value) == pytest.approx(slow_bits(value))
+
+
+def test_short_random_values_and_bearer_tokens_are_found():
+    guesses = lambda text: [text[a:b] for k, a, b in secret_scan.find_spans(text) if k == "guess"]
+    for value in ("xK9#mQ2!", "aB3xY7qZ", "x7k2m9qf", "Zr8$wT4k"):
+        for context in ("pwd: ", "passphrase = ", "PIN=", "credentials: "):
+            assert guesses(f"the {context}{value} there") == [value]
+    assert guesses("password: xK9#mQ2!") == ["xK9#mQ2!"]
+    token = "mF9xB5f4C1JqMx7Tzk2"
+    for text in (f"Authorization: Bearer {token}", f"curl -H 'authorization: bearer {token}'", f"use Bearer {token}.", f"auth: Bearer {token}", f"bearer {token}"):
+        assert guesses(text) == [token]
+    for text in ("bearer certificates", "bearer Certificates", "secret: nothing!", "Secret: Whatever", "pwd: changeme2024!", "pin: 11111111", "auth: opt-outs", "pwd: Welcome2024", "pwd: P4ssword!!"):
+        assert guesses(text) == []

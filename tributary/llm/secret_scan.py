@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,8 +34,10 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 CONTEXT = re.compile(
     "(?:" + "|".join(map(either, ("password", "passphrase", "passwd", "passcode", "pwd", "secret", "token", "api[_ -]?key", "access[_ -]?key", "private[_ -]?key", "credentials?", "auth", "bearer", "pin"))) + ")"
-    "[\"']?\\s{0,8}(?:[:=]|=>|:=)\\s{0,8}[\"'`]?([^\\s\"'`,;<>()\\[\\]{}|]+)"
+    "[\"']?\\s{0,8}(?:[:=]|=>|:=)\\s{0,8}[\"'`]?(?:" + either("bearer") + "\\s{1,8})?([^\\s\"'`,;<>()\\[\\]{}|]+)"
 )
+#: Bearer tokens behind a blank. In prose a word may follow: outside of a header the token has a digit or changes case.
+BEARER = re.compile("(?:" + either("authorization") + "[\"']?\\s{0,8}[:=]\\s{0,8}[\"'`]?" + either("bearer") + "\\s{1,8}|" + either("bearer") + "\\s{1,8}(?=\\S{0,512}?(?:[0-9]|[a-z][A-Z])))(?![:=])([^\\s\"'`,;<>()\\[\\]{}|]+)")
 
 #: Words that people put into passwords and placeholders, the more frequent first: a word costs log2 of its place.
 WORDS = """password admin test user secret login welcome letmein master dragon monkey qwerty hello change me
@@ -58,7 +60,23 @@ def brute_bits(c: str) -> float:
     return math.log2(10) if c in "0123456789" else math.log2(26) if c.isascii() and c.isalpha() else math.log2(33) if c.isascii() else 8.0
 
 
-def guess_bits(value: str) -> float:
+#: Punctuation that joins words and doesn't widen the alphabet of a value.
+JOINERS = "-_./:@"
+
+
+def brute_of(value: str) -> Callable[[str], float]:
+    """The cost of a character if the value's letters, digits and symbols are drawn from all classes that occur in it.
+
+    A capital at the start alone is no class, nor are joiners."""
+    body = value.rstrip(".!?")
+    lower, upper, digit = any("a" <= c <= "z" for c in body), any("A" <= c <= "Z" for c in body[1:]), any("0" <= c <= "9" for c in body)
+    symbol = any(c.isascii() and not c.isalnum() and c not in JOINERS for c in body)
+    wide = math.log2(max(1, 26 * (lower + upper) + 10 * digit + 33 * symbol))
+    narrow = lambda c: not c.isascii() or not c.isalnum() and not symbol or lower + upper + digit + symbol < 2
+    return lambda c: brute_bits(c) if narrow(c) else max(wide, brute_bits(c))
+
+
+def guess_bits(value: str, brute_bits: Callable[[str], float] = brute_bits) -> float:
     """The least cost of any segmentation of the value, in bits. Each segment besides the first costs one bit more."""
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
@@ -92,14 +110,18 @@ def guess_bits(value: str) -> float:
 
 def find_spans(text: str, min_bits: float = MIN_BITS, min_length: int = MIN_LENGTH) -> list[tuple[str, int, int]]:
     """All (kind, start, end) of a text by start, then kind: code points, end exclusive."""
-    spans = []
+    spans, found = [], {}
     if ":" in text or "=" in text:
         spans += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
         based = {m[2] for m in spans}
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".!?")
-            if len(value) >= min_length and m.end() not in based and guess_bits(value) >= min_bits:
-                spans.append(("guess", m.start(1), m.start(1) + len(value)))
+        found = {m.start(1): m for m in CONTEXT.finditer(text) if m.end() not in based}
+    if "bearer" in text.lower():
+        found = {m.start(1): m for m in BEARER.finditer(text)} | found
+    for start, m in found.items():
+        # Punctuation behind a value is its own if it's too short without.
+        value = stripped if len(stripped := m[1].rstrip(".!?")) >= min_length else m[1]
+        if len(value) >= min_length and guess_bits(value, brute_of(value)) >= min_bits:
+            spans.append(("guess", start, start + len(value)))
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     if long_hex(text):
