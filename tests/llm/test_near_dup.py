@@ -66,11 +66,23 @@ def cloud(n, size=120, seed=5):
     return out
 
 
-@pytest.mark.parametrize("max_weight", [near_dup.MAX_WEIGHT, 500])
-def test_cloud_of_copies_in_one_task_and_in_pieces(spark, max_weight):
+@pytest.mark.parametrize("chunk", [near_dup.CHUNK, 7])
+def test_cloud_of_copies_in_one_block_and_in_many(spark, chunk, monkeypatch):
+    for name in ("CHUNK", "SKETCH_CHUNK", "SALT"):
+        monkeypatch.setattr(near_dup, name, min(chunk, getattr(near_dup, name)))
     rows = cloud(400)
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, sketch string, n int")
-    check(near_dup.components(frame, 85, max_weight=max_weight), brute_components(rows, 85))
+    check(near_dup.components(frame, 85), brute_components(rows, 85))
+
+
+def test_blocks_emit_a_forest_and_not_all_links(spark):
+    rows = cloud(300)
+    star = spark.createDataFrame([(i, rows[1][0]) for i, _ in rows if i % 4 and i != 1], "id long, hub long")
+    count = near_dup.band_count(0.85) * near_dup.ROWS
+    sketch = lambda t: near_dup.registers(near_dup.shingle_set(t), count).view("<i8").tolist()
+    texts = spark.createDataFrame([(i, sketch(t), t) for i, t in rows], "id long, sketch array<bigint>, text string")
+    links = near_dup.hub_links(star, texts, 85, near_dup.SHINGLE).collect()
+    assert all(r["a"] == 1 for r in links) and len({r["b"] for r in links}) == len(links) > 20
 
 
 def test_odd_rows(spark):
@@ -92,7 +104,7 @@ def test_estimate_follows_similarity():
         base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
         a, b = base[:2000], np.concatenate([base[: int(2000 * share)], base[2000 : 2000 + int(2000 * (1 - share))]])
         true = share / (2 - share)
-        told = [near_dup.estimate(near_dup.registers(near_dup.mix(a + np.uint64(s)), 88), near_dup.registers(near_dup.mix(b + np.uint64(s)), 88))[0] for s in range(30)]
+        told = [near_dup.estimate(near_dup.registers(near_dup.mix(a + np.uint64(s)), 88), near_dup.registers(near_dup.mix(b + np.uint64(s)), 88)[None])[0][0] for s in range(30)]
         assert abs(np.mean(told) - true) < 0.04
     assert near_dup.band_count(0.85) == 22
 

@@ -4,16 +4,15 @@
    bucket's register keeps, of its least hash, the count of leading zeros and the mantissa bits behind
    them (16 bits). Texts with equal sets form a class; only one of a class goes on.
 2. Bands of four registers are keys. The number of bands makes the chance to miss a pair at the
-   threshold less than `MISS`. Members of a bucket are joined to its least member: clusters are the
-   connected components of these unconfirmed edges, so every candidate pair lies within a cluster.
-3. Whole texts of a cluster meet once. Inside, candidate pairs are those that share a band, aren't connected
-   yet, pass the bounds below and the collision-corrected similarity estimate, and then link on full sets.
-4. A cluster too heavy for one task is resolved in pieces: members that can't link to anything go, all
-   others are compared with its most central member, and those that stay unlinked are a query set that is
-   compared with all members in blocks. Only links are ever emitted.
+   threshold less than `MISS`. A class's score is the number of rows that it shares band keys with; the hub of a
+   bucket is its member of the highest score, and each class is compared with the best hub of its buckets.
+   Linked ones get the least label that links reach.
+3. What stays open are buckets whose members have several labels. All members but those of a bucket's
+   most frequent label are queries, in blocks, against the members with other labels: first by sketch alone
+   (size bound and collision-corrected similarity estimate), then, for those that have a partner left, on full sets.
 
-Bounds: a shingle that no other member has is in no intersection, so with m the rest of a set and n its
-size, a pair's similarity is at most min(m, m') / (n + n' - min(m, m')).
+A comparison is left out where links already connect both sides, so a block emits a spanning forest of its
+links, never all of them. Hubs and query sets meet their partners in salted blocks of bounded weight.
 
 Sets are of 64-bit hashes; two different shingles of two documents are taken as equal with a chance of 2**-64.
 """
@@ -21,23 +20,22 @@ Sets are of 64-bit hashes; two different shingles of two documents are taken as
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pick
 
 #: Words of a shingle; registers of a band; chance to miss a pair at the threshold.
 SHINGLE, ROWS, MISS = 5, 4, 1e-7
-#: A cluster with more shingles (with repeats, over its members) is resolved in pieces.
-MAX_WEIGHT = 300_000
-#: Members of a query set that are compared at a time.
-CHUNK = 400
+#: Queries of a block: how many, and how many shingles they have, about.
+CHUNK, WEIGHT = 400, 400_000
+#: Queries of a block while only sketches are compared, and members of a hub's block.
+SKETCH_CHUNK, SALT = 2000, 2000
 MANTISSA_BITS = 10
 #: Edges that one task joins without effort.
 FEW_EDGES = 300_000
@@ -106,27 +104,22 @@ def band_count(threshold: float) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - threshold**ROWS))
 
 
-def band_keys(sketch: np.ndarray) -> list[int | None]:
-    """Each band's four registers as one number; None where all are empty."""
-    return [int(k) if k else None for k in sketch.view("<i8")]
+def plausible(sketch: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the estimates of one sketch against the rows of others allow for the threshold, with `SLACK` standard
+    errors; too few buckets always do."""
+    told, k = estimate(sketch, others)
+    return (k < 40) | (told >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / np.maximum(k, 1)))
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
-    """Similarity of two sketches, corrected for registers that agree by chance, and the buckets it rests on.
+def estimate(sketch: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of a sketch to others, corrected for registers that agree by chance, and the buckets they rest on.
 
     Two unlike minima have the same leading zeros with a chance of 1/3 and the same mantissa with one of 2**-10.
     """
-    filled = (a > 0) | (b > 0)
-    k = int(filled.sum())
+    k = ((others > 0) | (sketch > 0)).sum(axis=-1)
     chance = 2.0**-MANTISSA_BITS / 3
-    agree = int(((a == b) & filled).sum()) / max(k, 1)
-    return max(0.0, (agree - chance) / (1 - chance)), k
-
-
-def plausible(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    """Whether the estimate allows for the threshold, with `SLACK` standard errors; too few buckets always do."""
-    told, k = estimate(a, b)
-    return k < 40 or told >= threshold - SLACK * math.sqrt(threshold * (1 - threshold) / k)
+    agree = ((others == sketch) & (sketch > 0)).sum(axis=-1) / np.maximum(k, 1)
+    return np.maximum(0.0, (agree - chance) / (1 - chance)), k
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -137,141 +130,112 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def may_link(n: int, m: int, others_n: np.ndarray, others_m: np.ndarray, percent: int) -> np.ndarray:
-    """The bound of the module's text for one set against many."""
-    both = np.minimum(m, others_m)
-    return 100 * both >= percent * (n + others_n - both)
-
-
 def sketch_documents(width: int, count: int):
-    """For mapInArrow: (id, text) to (id, n, digest_a, digest_b, sketch, bands)."""
+    """For mapInArrow: (id, mark, text) to (id, mark, n, digest_a, digest_b, sketch), the sketch as one long for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                rows = []
-                for text in part.column(1):
+                n, digests, sketches = [], [], []
+                for text in part.column(2):
                     s = shingle_set(text.as_py(), width)
-                    sketch = registers(s, count)
-                    a, b = (int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for salt in (1, 2))
-                    rows.append((len(s), a, b, sketch.tobytes(), band_keys(sketch)))
-                n, a, b, sketch, bands = zip(*rows)
+                    n.append(len(s))
+                    digests.append([int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for salt in (1, 2)])
+                    sketches.append(registers(s, count).view("<i8"))
+                flat, bands = np.concatenate(sketches), count // ROWS
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), pa.array(flat))
+                a, b = zip(*digests)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["id", "n", "digest_a", "digest_b", "sketch", "bands"],
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), sketch], ["id", "mark", "n", "digest_a", "digest_b", "sketch"]
                 )
 
     return run
 
 
-def resolve_cluster(ids: list[int], sets: list[np.ndarray], sketches: list[np.ndarray], percent: int) -> list[int]:
-    """For each member the least id that links reach, inside one cluster."""
-    n = len(ids)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    seen = Counter()
-    for s in sets:
-        seen.update(s.tolist())
-    size = np.array([len(s) for s in sets])
-    rest = np.array([sum(seen[h] > 1 for h in s.tolist()) for s in sets])
-    keys = np.array([k.view("<i8") for k in sketches])
-    buckets = defaultdict(list)
-    for i in sorted(np.flatnonzero(100 * rest >= percent * size).tolist(), key=lambda i: (size[i] - rest[i], ids[i])):
-        for band, key in enumerate(keys[i].tolist()):
-            if key:
-                buckets[band, key].append(i)
-    for (band, _), members in buckets.items():
-        for k, i in enumerate(members[:-1]):
-            later = np.array(members[k + 1 :])
-            # A pair is tested in the first band that it shares.
-            earlier = ((keys[later, :band] == keys[i, :band]) & (keys[i, :band] != 0)).any(axis=1)
-            for j in later[may_link(size[i], rest[i], size[later], rest[later], percent) & ~earlier].tolist():
-                if root(i) != root(j) and plausible(sketches[i], sketches[j], percent / 100) and linked(sets[i], sets[j], percent):
-                    parent[root(j)] = root(i)
-    least: dict[int, int] = {}
-    for i in range(n):
-        least[root(i)] = min(least.get(root(i), ids[i]), ids[i])
-    return [least[root(i)] for i in range(n)]
-
-
-def resolve_clusters(percent: int, width: int):
-    """For mapInArrow over rows (cluster, id, sketch, text) sorted by cluster: rows (id, component)."""
+class Labels(dict):
+    """Labels that links join, with a root for each set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4))))
-        for _, members in groupby(rows, key=lambda r: r[0]):
-            ids, sets, sketches = [], [], []
-            for _, key, sketch, text in members:
-                ids.append(key)
-                sets.append(shingle_set(text, width))
-                sketches.append(np.frombuffer(sketch, np.uint16))
-            found = resolve_cluster(ids, sets, sketches, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["id", "component"])
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
 
-    return run
 
+def blocks_of(batches: Iterator[pa.RecordBatch], columns: int):
+    """Rows of sorted batches by block, which the first three columns name. Texts leave their batch one by one."""
+    rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() if i < 7 else b.column(i) for i in range(columns))))
+    return groupby(rows, key=lambda r: r[:3])
 
-def list_shingles(width: int):
-    """For mapInArrow: (cluster, id, text) to (cluster, id, shingle)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cluster, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                s = shingle_set(text.as_py(), width).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), cluster)), pa.array(np.full(len(s), key)), pa.array(s)], ["cluster", "id", "shingle"])
+def sketch_rows(sketches: list[list[int]]) -> np.ndarray:
+    return np.array(sketches, "<i8").view("<u2")
 
-    return run
+
+def open_queries(member: np.ndarray, n: int, sizes: np.ndarray, sketches: np.ndarray, band: int | None, percent: int) -> np.ndarray:
+    """The queries that a member may link to: by size, by estimate, and with this band the first that both share."""
+    fits = 100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)
+    if band:
+        mine, theirs = member.view("<i8")[:band], sketches.view("<i8")[:, :band]
+        fits &= ~((theirs == mine) & (mine != 0)).any(axis=1)
+    at = np.flatnonzero(fits)
+    return at[plausible(member, sketches[at], percent / 100)] if len(at) else at
 
 
-def compare_with_center(percent: int, width: int):
-    """For mapInArrow: (id, text, center_id, center_text) to (a, b) for the linked ones."""
+def plausible_members(percent: int):
+    """For mapInArrow over rows (band, key, chunk, queries first, id, label, sketch, n) sorted by these: rows (band, key, id, label, asks)
+    of the queries and members that may link to a row of another label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        for batch in batches:
-            found = []
-            for key, text, center, center_text in zip(*(batch.column(i) for i in range(4))):
-                center = center.as_py()
-                if center not in known:
-                    known = {center: shingle_set(center_text.as_py(), width)}
-                if key.as_py() != center and linked(shingle_set(text.as_py(), width), known[center], percent):
-                    found.append((center, key.as_py()))
-            a, b = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(8))))
+        for (band, key, _), members in groupby(rows, key=lambda r: r[:3]):
+            queries, found, asked = [], [], np.zeros(0, bool)
+            sizes = labels = sketches = None
+            for _, _, _, member, of, label, sketch, n in members:
+                if not member:
+                    queries.append((of, label, sketch, n))
+                    continue
+                if sizes is None:
+                    sizes, labels, sketches = np.array([q[3] for q in queries]), np.array([q[1] for q in queries]), sketch_rows([q[2] for q in queries])
+                    asked = np.zeros(len(queries), bool)
+                other = np.flatnonzero(labels != label)
+                other = other[open_queries(sketch_rows([sketch])[0], n, sizes[other], sketches[other], band, percent)] if len(other) else other
+                if len(other):
+                    asked[other] = True
+                    found.append((of, label, False))
+            found += [(queries[q][0], queries[q][1], True) for q in np.flatnonzero(asked).tolist()]
+            of, label, asks = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([band] * len(of), pa.int32()), pa.array([key] * len(of), pa.int64()), pa.array(of, pa.int64()), pa.array(label, pa.int64()), pa.array(asks, pa.bool_())], ["band", "key", "id", "label", "asks"]
+            )
 
     return run
 
 
-def compare_blocks(percent: int, width: int):
-    """For mapInArrow over rows (cluster, chunk, asks, id, n, m, sketch, text) sorted by cluster, chunk, and
-    the query set first: links (a, b) of a chunk's queries with all members of the cluster."""
+def compare_blocks(percent: int, width: int, by_band: bool):
+    """For mapInArrow over rows (band, key, chunk, member, id, label, sketch, text) sorted by these, a block's queries
+    before its members: links (a, b) confirmed on full sets, a spanning forest of a block's labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(8))))
-        for _, members in groupby(rows, key=lambda r: r[:2]):
-            queries, found = [], []
-            sizes = rests = keys = None
-            for _, _, asks, key, n, m, sketch, text in members:
-                bands = np.frombuffer(sketch, "<i8")
-                if asks:
-                    queries.append((key, n, m, np.frombuffer(sketch, np.uint16), shingle_set(text, width), bands))
+        for (band, _, _), members in blocks_of(batches, 8):
+            queries, found, joined, sizes = [], [], Labels(), None
+            for _, _, _, member, of, label, sketch, text in members:
+                if not member:
+                    queries.append((of, label, shingle_set(text.as_py(), width), sketch))
                     continue
                 if sizes is None:
-                    sizes, rests, keys = np.array([q[1] for q in queries]), np.array([q[2] for q in queries]), np.array([q[5] for q in queries])
-                open_ = may_link(n, m, sizes, rests, percent) & ((keys == bands) & (bands != 0)).any(axis=1)
-                mine = None
-                for q in np.flatnonzero(open_).tolist():
-                    if queries[q][0] != key and plausible(queries[q][3], np.frombuffer(sketch, np.uint16), percent / 100):
-                        mine = shingle_set(text, width) if mine is None else mine
-                        if linked(queries[q][4], mine, percent):
-                            found.append((queries[q][0], key))
+                    sizes, sketches = np.array([len(q[2]) for q in queries]), sketch_rows([q[3] for q in queries])
+                    roots = np.array([q[1] for q in queries])
+                others = np.flatnonzero(roots != joined.root(label))
+                if not len(others):
+                    continue
+                mine = shingle_set(text.as_py(), width)
+                for q in others[open_queries(sketch_rows([sketch])[0], len(mine), sizes[others], sketches[others], band if by_band else None, percent)].tolist():
+                    left, right = joined.root(queries[q][1]), joined.root(label)
+                    if left != right and linked(queries[q][2], mine, percent):
+                        joined[left] = right
+                        roots[roots == left] = right
+                        found.append((queries[q][0], of))
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -299,11 +263,11 @@ def join_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that the edges (a, b) of longs connect each node with.
 
-    Each round passes least labels along edges and then jumps to the label's own label; lineage is cut each
-    round. A node with very many edges only meets partial minima and joins that Spark can split. Up to
-    `FEW_EDGES` edges are joined in one task.
+    The edges are a table whose lineage is cut. Each round passes least labels along edges and then jumps to the label's own
+    label; lineage is cut each round. A node with very many edges only meets partial minima and joins that Spark can split.
+    Up to `FEW_EDGES` edges are joined in one task.
     """
-    edges = cut(edges.where("a <> b").select("a", "b"))
+    edges = edges.where("a <> b").select("a", "b")
     if edges.count() <= FEW_EDGES:
         return cut(edges.coalesce(1).mapInArrow(join_nodes, "node bigint, component bigint"))
     ways = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -320,90 +284,91 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def resolve_heavy(members: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links (a, b) that connect the components of heavy clusters. members: cluster, id, n, sketch, text."""
-    shingles = members.select("cluster", "id", "text").mapInArrow(list_shingles(width), "cluster bigint, id bigint, shingle bigint")
-    private = shingles.groupBy("cluster", "shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("cluster", "id").agg(F.count("*").alias("private"))
-    told = members.join(private, ["cluster", "id"], "left").withColumn("m", F.col("n") - F.coalesce("private", F.lit(0)))
-    told = cut(told.where(100 * F.col("m") >= percent * F.col("n")).select("cluster", "id", "n", "m", "sketch", "text"))
-    order = F.struct((F.col("n") - F.col("m")).alias("private"), "id")
-    centers = told.groupBy("cluster").agg(F.min(order).alias("o")).select("cluster", F.col("o.id").alias("center"))
-    texts = told.join(centers, "cluster").where("id = center").select("cluster", "center", F.col("text").alias("center_text"))
-    star = cut(told.join(texts, "cluster").select("id", "text", "center", "center_text").mapInArrow(compare_with_center(percent, width), "a bigint, b bigint"))
-    done = star.select(F.col("b").alias("id")).union(centers.select("center").toDF("id")).distinct()
-    asking = told.join(done, "id", "left_anti")
-    chunks = asking.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    columns = ["cluster", "chunk", "asks", "id", "n", "m", "sketch", "text"]
-    queries = asking.join(chunks, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")).withColumn("asks", F.lit(True))
-    all_rows = told.join(chunks, "cluster").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(False))
-    blocks = queries.select(columns).union(all_rows.select(columns)).repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", F.col("asks").desc())
-    return star.union(blocks.mapInArrow(compare_blocks(percent, width), "a bigint, b bigint"))
-
-
-def components(documents: DataFrame, percent: int = 80, width: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text", max_weight: int = MAX_WEIGHT) -> DataFrame:
+def hub_pairs(grouped: DataFrame) -> DataFrame:
+    """(id, hub): for each id in rows (band, key, c, id) of shared buckets the hub it is compared with, if it isn't one itself."""
+    scores = grouped.groupBy("id").agg(F.sum("c").alias("score"))
+    scored = cut(grouped.join(scores, "id").select("band", "key", "id", "score"))
+    hubs = scored.groupBy("band", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("hub"))
+    best = scored.join(hubs, ["band", "key"]).groupBy("id").agg(F.max("hub").alias("hub"))
+    return best.select("id", (-F.col("hub.id")).alias("hub")).where("id <> hub")
+
+
+def in_blocks(queries: DataFrame, members: DataFrame, kinds: list[str]) -> DataFrame:
+    """Queries and members (band, key, chunk, .. kinds) sorted into their blocks, queries first."""
+    columns = ["band", "key", "chunk", "member", "id", "label", "sketch", *kinds]
+    both = queries.withColumn("member", F.lit(False)).select(columns).union(members.withColumn("member", F.lit(True)).select(columns))
+    return both.repartition("band", "key", "chunk").sortWithinPartitions("band", "key", "chunk", "member")
+
+
+def hub_links(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) of ids with their hubs. A hub with many ids has several blocks."""
+    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    block = [F.lit(0).alias("band"), F.col("hub").alias("key"), "chunk", "id", F.col("id").alias("label"), "sketch", "text"]
+    queries = salts.join(texts, salts["hub"] == texts["id"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    members = pairs.join(salts, "hub").join(texts, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), "salts").cast("int"))
+    return in_blocks(queries.select(block), members.select(block), ["text"]).mapInArrow(compare_blocks(percent, width, False), "a bigint, b bigint")
+
+
+def chunked(rows: DataFrame, count: int, weight: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and members, from rows (band, key, id, n, asks): each query in one of its bucket's blocks, each row as a member in all."""
+    asking = rows.where("asks")
+    sizes = F.greatest(F.ceil(F.count("*") / count), F.ceil(F.sum("n") / weight)).cast("int")
+    chunks = asking.groupBy("band", "key").agg(sizes.alias("chunks"))
+    queries = asking.join(chunks, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    return queries, rows.join(chunks, ["band", "key"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+
+def open_links(grouped: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) between rows of one bucket that have different labels. nodes: id, n, sketch."""
+    told = grouped.select("band", "key", "id").join(labels, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("label"))
+    told = cut(told)
+    counts = told.groupBy("band", "key", "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy("band", "key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    open_rows = told.join(main, ["band", "key"]).join(nodes, "id").select("band", "key", "id", "label", "n", "sketch", (F.col("label") != F.col("main")).alias("asks"))
+    queries, members = chunked(cut(open_rows), SKETCH_CHUNK, 1 << 40)
+    flagged = in_blocks(queries, members, ["n"]).mapInArrow(plausible_members(percent), "band int, key bigint, id bigint, label bigint, asks boolean")
+    flagged = flagged.groupBy("band", "key", "id", "label").agg(F.max("asks").alias("asks"))
+    queries, members = chunked(cut(flagged.join(nodes, "id")), CHUNK, WEIGHT)
+    text = texts.select("id", "text")
+    return in_blocks(queries.join(text, "id"), members.join(text, "id"), ["text"]).mapInArrow(compare_blocks(percent, width, True), "a bigint, b bigint")
+
+
+def components(documents: DataFrame, percent: int = 80, width: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; `component_id` is the
     least id reachable, `kept` tells whether it is the row's own. Null, empty and blank texts have no
     shingles and no links. A row with a null id links to nothing: its component is null and it is kept.
-    Rows with the same id are one document: its links are those of all of them. Further columns are dropped.
+    Rows with the same id are one document: its links are those of all of them. Very long texts are sets like
+    others, read one at a time. An empty table gives an empty result. Further columns are dropped.
     """
     bands = band_count(percent / 100)
-    rows = pick(documents, id=id_column, text=text_column).withColumn("id", F.col("id").cast("bigint"))
-    kinds = "id bigint, n bigint, digest_a bigint, digest_b bigint, sketch binary, bands array<bigint>"
-    sketched = cut(rows.mapInArrow(sketch_documents(width, bands * ROWS), kinds).drop("bands"))
+    rows = pick(documents, id=id_column, text=text_column).select(F.col("id").cast("bigint").alias("id"), F.xxhash64("text").alias("mark"), "text")
+    kinds = "id bigint, mark bigint, n bigint, digest_a bigint, digest_b bigint, sketch array<bigint>"
+    sketched = cut(rows.mapInArrow(sketch_documents(width, bands * ROWS), kinds))
     own = ["digest_a", "digest_b", "n"]
     real = sketched.where("n > 0 and id is not null")
-    classes = cut(real.groupBy(*own).agg(F.min("id").alias("rep"), F.min("sketch").alias("sketch")))
-    keys = classes.select("rep", "n", F.posexplode(band_values("sketch", bands)).alias("band", "key")).where("key <> 0")
-    buckets = keys.groupBy("band", "key").agg(F.min("rep").alias("low"), F.count("*").alias("c")).where("c > 1").select("band", "key", "low")
-    edges = keys.join(buckets, ["band", "key"]).select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-    clusters = connected_components(edges).withColumnsRenamed({"node": "rep", "component": "cluster"})
-    chosen = cut(classes.join(clusters, "rep"))
-    weights = chosen.groupBy("cluster").agg(F.sum("n").alias("weight"))
-    chosen = cut(chosen.join(weights, "cluster").select("rep", *own, "sketch", "cluster", "weight"))
-    # Of rows with the same id, the one whose set is the class's gives the text.
-    texts = rows.join(chosen.select("rep"), rows["id"] == F.col("rep"), "left_semi")
-    texts = texts.mapInArrow(keep_text(width), "id bigint, digest_a bigint, digest_b bigint, n bigint, text string").dropDuplicates(["id", *own])
-    members = cut(chosen.join(texts.withColumnRenamed("id", "rep"), ["rep", *own]).select("cluster", F.col("rep").alias("id"), "n", "sketch", "text", "weight"))
-    light = members.where(F.col("weight") <= max_weight).select("cluster", "id", "sketch", "text")
-    light = cut(light.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(resolve_clusters(percent, width), "id bigint, component bigint"))
-    links = light.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    heavy = members.where(F.col("weight") > max_weight)
-    if not heavy.isEmpty():
-        links = links.union(resolve_heavy(heavy.drop("weight"), percent, width))
-    # Documents whose rows are in several classes connect these.
+    classes = cut(real.groupBy(*own).agg(F.min(F.struct("id", "mark")).alias("of"), F.min("sketch").alias("sketch")).select(*own, F.col("of.id").alias("id"), F.col("of.mark").alias("mark"), "sketch"))
+    keys = classes.select("id", F.posexplode("sketch").alias("band", "key")).where("key <> 0")
+    buckets = keys.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1")
+    grouped = cut(keys.join(buckets, ["band", "key"]))
+    nodes = classes.select("id", "mark", "n", "sketch").join(grouped.select("id").distinct(), "id")
+    # A class's id may have further rows with other texts, and all its rows may be there twice.
+    texts = cut(rows.join(nodes, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "n", "sketch", "text"))
+    star = cut(hub_links(cut(hub_pairs(grouped)), texts, percent, width))
+    labels = connected_components(star).withColumnRenamed("node", "id")
+    links = star.union(open_links(grouped, texts.select("id", "n", "sketch"), labels, texts, percent, width))
+    # Rows of one id connect their classes.
     several = real.groupBy("id").agg(F.min(F.struct(*own)).alias("x"), F.max(F.struct(*own)).alias("y")).where("x <> y").select("id")
-    if not several.isEmpty():
-        membership = cut(real.join(several, "id", "left_semi").join(classes.drop("sketch"), own).select("id", "rep"))
-        links = links.union(membership.join(membership.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b")).where("a <> b"))
-    found = connected_components(links).withColumnsRenamed({"node": "rep", "component": "least"})
-    labels = cut(classes.drop("sketch").join(found, "rep", "left").select(*own, F.coalesce("least", "rep").alias("least")))
+    membership = real.join(several, "id", "left_semi").select("id", *own).join(classes.select(*own, F.col("id").alias("b")), own)
+    links = links.union(membership.select(F.col("id").alias("a"), "b"))
+    found = connected_components(cut(links.where("a <> b"))).withColumnsRenamed({"node": "rep", "component": "least"})
+    labels = classes.select(*own, "id").join(found, F.col("id") == F.col("rep"), "left").select(*own, F.coalesce("least", "id").alias("least"))
     told = sketched.select("id", *own).join(labels, own, "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")))
     return told.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def band_values(sketch: str, bands: int) -> Column:
-    """The bands of a sketch as longs: eight bytes each, 0 where all four registers are empty."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.conv(F.hex(F.substring(F.col(sketch), i * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
-
-
-def keep_text(width: int):
-    """For mapInArrow: (id, text) to (id, digest_a, digest_b, n, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), width)
-                rows.append((*(int(mix(s ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for salt in (1, 2)), len(s)))
-            a, b, n = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), batch.column(1)], ["id", "digest_a", "digest_b", "n", "text"])
-
-    return run
-
-
 def keep_one(documents: DataFrame, percent: int = 80, width: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each component the one with the least id. Columns stay as they are.
 
