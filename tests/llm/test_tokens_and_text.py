@@ -42,9 +42,10 @@ def test_bpe_on_documents(spark, sf_dir, library):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(d["text"] or ""))
 
 
-def test_bpe_odd_rows(spark, library):
+@pytest.mark.parametrize("rows", [0, 6, bpe.SAMPLE_ROWS])
+def test_bpe_odd_rows(spark, library, rows):
     ranks = queries.multi_ranks()
-    encoded = bpe.encode(odd(spark), ranks, block_chars=100)
+    encoded = bpe.encode(odd(spark), ranks, block_chars=100, sample_rows=rows)
     got = sorted(((r["doc_id"], r["ids"], bytes(r["raw"])) for r in encoded.withColumn("raw", bpe.decode(encoded["ids"], ranks)).collect()), key=str)
     want = sorted(((i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in zip(ODD_IDS, ODD_TEXTS)), key=str)
     assert got == want

@@ -4,15 +4,18 @@ Encoding has three narrow steps, without a shuffle, so that a lost executor cost
 
 1. texts are cut into blocks, each split by the tokenizer's pattern into its distinct words (Arrow);
 2. higher-order functions fold ranked merges over each distinct word: starting from the ids of its bytes, the
-   fold merges the leftmost pair of least rank until no pair has one. Ranks come from a literal rank map:
-   two arrays in the plan, addressed by a hash of the pair. Ids are characters while they are folded, as
-   Spark's string functions are about twice as fast here as those on arrays;
+   fold merges the leftmost pair of least rank until no pair has one. A word is a byte array that holds each id in as
+   many bytes as ids need. Ranks come from a literal rank map, a byte array too, addressed by a hash of the pair;
 3. word ids are put together again for each document (Arrow).
 
+Folding is what costs, so words of a bounded sample of rows are folded once beforehand and broadcast with their
+ids; tasks fold the words that they don't find there. The sample is a cache of bounded size and changes no result.
+
 Decoding is native: it looks up each id's bytes in a literal array and concatenates the pieces.
 
 The rank map is a cuckoo table of the mergeable pairs (two slots for each), so that a lookup costs one hash and
-at most two comparisons; Spark's own map type would search it linearly.
+at most two comparisons; Spark's own map type would search it linearly. As one byte array of 1.5 MB it stays in a
+core's cache, which makes the fold twice as fast as arrays of strings do.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +40,8 @@ from .splitting import splitter
 BLOCK_CHARS = 2_000_000
 #: Distinct words that a task remembers before it starts anew.
 MAX_WORDS = 1_000_000
-#: The code point of id 0, and the rank of pairs that don't merge.
-FIRST_CHAR = 256
-NO_RANK = 1 << 30
-
-
+#: Rows whose words are folded beforehand, and code points looked at in each; longer words are rare and not among them.
+SAMPLE_ROWS, SAMPLE_CHARS, KNOWN_CHARS = 8192, 4096, 64
 class Ranks:
     """Mergeable ranks: bytes of each token to its id, and the tables that the plan carries."""
 
@@ -53,44 +54,49 @@ class Ranks:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
-    def pairs(self) -> dict[str, int]:
-        """Each mergeable pair, as the two characters of its ids, with the id that it makes."""
+    @functools.cached_property
+    def width(self) -> int:
+        """Bytes of an id: the one of all bits set stands for none."""
+        return ((max(self.ranks.values()) + 1).bit_length() + 7) // 8
+
+    def packed(self, *ids: int) -> bytes:
+        """Ids as big-endian numbers, so that their order as bytes is theirs as ids."""
+        return b"".join(i.to_bytes(self.width, "big") for i in ids)
+
+    def pairs(self) -> dict[bytes, int]:
+        """Each mergeable pair of ids with the id that it makes."""
         found = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    found[char_of(left) + char_of(right)] = rank
+                    found[self.packed(left, right)] = rank
         return found
 
     @functools.cached_property
-    def table(self) -> tuple[int, str, str]:
-        """The pairs in a cuckoo table: its size, a power of two, its pairs ("" where empty) and its ids, joined by commas."""
+    def table(self) -> tuple[int, bytes]:
+        """The pairs in a cuckoo table: how many slots it has, a power of two, and for each its pair and the id that this makes."""
         pairs = self.pairs()
         size = 1 << max(4, (len(pairs) * 9 // 4).bit_length() - 1)
         while (table := place(pairs, size)) is None:
             size *= 2
-        return size, ",".join(p for p, _ in table), ",".join(str(r) for _, r in table)
+        return size, b"".join(p + self.packed(r) if p else b"\xff" * 3 * self.width for p, r in table)
 
 
-def char_of(token: int) -> str:
-    """The character that stands for an id while words are folded: code points from 256, without surrogates."""
-    return chr(token + FIRST_CHAR if token + FIRST_CHAR < 0xD800 else token + FIRST_CHAR + 0x800)
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    """Packed ids as numbers."""
+    digits = np.frombuffer(data, np.uint8).reshape(-1, width).astype(np.int32)
+    return sum(digits[:, k] << 8 * (width - 1 - k) for k in range(width))
 
 
-def ids_of(chars: np.ndarray) -> np.ndarray:
-    """The ids of code points."""
-    return (chars.astype(np.int64) - FIRST_CHAR - np.where(chars >= 0xE000, 0x800, 0)).astype(np.int32)
-
-
-def slots(pair: str, size: int) -> tuple[int, int]:
+def slots(pair: bytes, size: int) -> tuple[int, int]:
     """The two slots of a pair, from Spark's xxhash64 of it."""
-    h = xxhash.xxh64_intdigest(pair.encode(), 42)
+    h = xxhash.xxh64_intdigest(pair, 42)
     return h & (size - 1), h >> 32 & (size - 1)
 
 
-def place(pairs: dict[str, int], size: int) -> list[tuple[str, int]] | None:
-    table = [("", 0)] * size
+def place(pairs: dict[bytes, int], size: int) -> list[tuple[bytes, int]] | None:
+    table = [(b"", 0)] * size
     for item in pairs.items():
         at = slots(item[0], size)[0]
         for _ in range(500):
@@ -104,36 +110,32 @@ def place(pairs: dict[str, int], size: int) -> list[tuple[str, int]] | None:
     return table
 
 
-def literal(joined: str) -> Column:
-    """A string array, given joined by commas, as a foldable expression; the optimizer turns it into one literal."""
-    return F.split(F.lit(joined), ",")
-
-
-def fold_merges(word: Column, pairs: Column, ranks: Column, chars: Column, size: int) -> Column:
-    """A word of id characters with ranked merges folded in, given the id characters of its bytes.
+def fold_merges(word: Column, table: Column, size: int, width: int) -> Column:
+    """A word of packed ids with ranked merges folded in, given the packed ids of its bytes.
 
     Each step looks up all adjacent pairs and merges the leftmost of least rank; a rank is the new id.
     """
+    one = F.lit(width)
 
-    def rank(pair: Column) -> Column:
-        def probe(h: Column) -> Column:
-            first = h.bitwiseAND(F.lit(size - 1)).cast("int")
-            second = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1)).cast("int")
-            return F.when(F.get(pairs, first) == pair, F.get(ranks, first)).when(F.get(pairs, second) == pair, F.get(ranks, second)).otherwise(F.lit(NO_RANK))
+    def rank(pair: Column, h: Column) -> Column:
+        def at(slot: Column) -> tuple[Column, Column]:
+            start = slot.bitwiseAND(F.lit(size - 1)).cast("int") * (3 * width) + 1
+            return F.startswith(F.substring(table, start, F.lit(3 * width)), pair), F.substring(table, start + 2 * width, one)
 
-        return let(F.xxhash64(pair), probe)
+        return F.when(*at(h)).when(*at(F.shiftrightunsigned(h, 32)))
 
     def step(state: Column, _: Column) -> Column:
-        n = F.length(state)
-
         def merge(found: Column) -> Column:
-            at = lambda k: F.concat(F.substring(state, F.lit(1), k - 1), F.get(chars, F.get(found, k - 1)), F.substring(state, k + 2, n))
-            least = F.array_min(found)
-            return F.when(least == NO_RANK, state).otherwise(let(F.array_position(found, least).cast("int"), at))
+            # k: bytes before the pair, and those of its first id
+            made = lambda least, k: F.concat(F.substring(state, F.lit(1), k - width), least, F.substring(state, k + width + 1, F.length(state)))
+            put = lambda least: F.when(least.isNull(), state).otherwise(let(F.array_position(found, least).cast("int") * width, lambda k: made(least, k)))
+            return let(F.array_min(found), put)
 
-        return let(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: rank(F.substring(state, i, F.lit(2)))), merge)
+        starts = F.sequence(F.lit(1), F.greatest(F.length(state) - width - 1, F.lit(1)), one)
+        pairs = F.transform(starts, lambda i: F.substring(state, i, F.lit(2 * width)))
+        return let(let(pairs, lambda p: F.zip_with(p, F.transform(p, lambda x: F.xxhash64(x)), rank)), merge)
 
-    return F.when(F.length(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), word, step))
+    return F.when(F.length(word) <= width, word).otherwise(F.aggregate(F.sequence(one, F.length(word) - width, one), word, step))
 
 
 class Numbers(dict):
@@ -144,13 +146,41 @@ class Numbers(dict):
         return number
 
 
-def split_blocks(ranks: dict[bytes, int], pattern: str, block_chars: int):
-    """For mapInArrow: (key, text) to one row for each block: keys, words per text, word numbers, first number, byte ids of words.
+def byte_ids(ranks: dict[bytes, int], width: int):
+    """A function that gives the packed ids which a word's bytes start with: one id for each, or its own if it is a token."""
+    packed = {token: rank.to_bytes(width, "big") for token, rank in ranks.items()}
+    single = [packed[bytes([b])] for b in range(256)]
+    return lambda raw: packed.get(raw) or b"".join(map(single.__getitem__, raw))
+
 
-    Only words that no earlier block of the task has are given, so that each is folded once for a task; numbers
-    go on from block to block until `MAX_WORDS`, then start anew. A word that is a token itself starts, and so ends, as that one id.
+def folded(words: Column, ranks: Ranks) -> Column:
+    """An array of words, as packed ids of their bytes, with all merges folded in."""
+    size, table = ranks.table
+    return let(F.lit(table), lambda t: F.transform(words, lambda w: fold_merges(w, t, size, ranks.width)))
+
+
+def known_words(rows: DataFrame, ranks: Ranks, count: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of the first rows of (key, text), their ids one after another, and how many ids each has."""
+    find, start = splitter(ranks.pattern), byte_ids(ranks.ranks, ranks.width)
+    found: dict[str, None] = {}
+    for row in rows.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).take(count):
+        found |= dict.fromkeys(find(row["text"] or ""))
+    words = [w for w in found if len(w) <= KNOWN_CHARS and w.encode() not in ranks.ranks]
+    if not words:
+        return [], np.zeros(0, np.int32), np.zeros(0, np.int64)
+    parts = [(k, [start(w.encode()) for w in words[k : k + 10_000]]) for k in range(0, len(words), 10_000)]
+    told = rows.sparkSession.createDataFrame(parts, "at int, words array<binary>").repartition(len(parts))
+    done = [w for _, part in sorted(told.select("at", folded(F.col("words"), ranks).alias("words")).collect()) for w in part]
+    return words, unpacked(b"".join(done), ranks.width), np.array([len(w) // ranks.width for w in done], np.int64)
+
+
+def split_blocks(ranks: dict[bytes, int], pattern: str, width: int, block_chars: int, known: Broadcast):
+    """For mapInArrow: (key, text) to one row for each block: keys, words per text, word numbers (32-bit integers), first number, byte ids of words.
+
+    Only words that are neither known nor in an earlier block of the task are given, so that each is folded once for a
+    task; numbers go on from those of the known words and from block to block until `MAX_WORDS`, then start anew. A
+    word that is a token itself starts, and so ends, as that one id.
     """
-    byte_chars = [char_of(ranks[bytes([b])]) for b in range(256)]
 
     def blocks(rows: Iterator[tuple[int, str]]) -> Iterator[tuple[list, list]]:
         keys, texts, chars = [], [], 0
@@ -165,31 +195,29 @@ def split_blocks(ranks: dict[bytes, int], pattern: str, block_chars: int):
             yield keys, texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, number = splitter(pattern), Numbers()
+        find, start, number = splitter(pattern), byte_ids(ranks, width), Numbers()
+        first_new = len(known.value)
+        number.update(zip(known.value, range(first_new)))
         # Texts leave their Arrow batch one by one: a batch's strings all at once would be as large as the batch again.
         rows = ((k.as_py(), t.as_py() or "") for batch in batches for k, t in zip(batch.column(0), batch.column(1)))
         for keys, texts in blocks(rows):
-            if len(number) > MAX_WORDS:
+            if len(number) > MAX_WORDS + first_new:
                 number.clear()
+                number.update(zip(known.value, range(first_new)))
             before, counts, numbers = len(number), [], []
             for text in texts:
                 words = find(text)
                 counts.append(len(words))
                 numbers.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-            words = []
-            for word in itertools.islice(number, before, None):
-                raw = word.encode()
-                whole = ranks.get(raw)
-                words.append("".join(map(byte_chars.__getitem__, raw)) if whole is None else char_of(whole))
+            words = [start(word.encode()) for word in itertools.islice(number, before, None)]
             one = lambda values, kind: pa.array([values], pa.list_(kind))
-            flat = np.concatenate(numbers)
             yield pa.RecordBatch.from_arrays(
                 [
                     one(keys, pa.int64()),
                     one(counts, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat)),
+                    pa.array([np.concatenate(numbers).tobytes()], pa.binary()),
                     pa.array([before], pa.int32()),
-                    one(words, pa.string()),
+                    one(words, pa.binary()),
                 ],
                 ["keys", "counts", "numbers", "first", "words"],
             )
@@ -197,44 +225,45 @@ def split_blocks(ranks: dict[bytes, int], pattern: str, block_chars: int):
     return run
 
 
-def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def join_blocks(width: int, known: Broadcast):
     """For mapInArrow: blocks with the ids of their new words, to (key, ids) rows of the texts."""
-    ids, lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
-    for batch in batches:
-        for r in range(batch.num_rows):
-            keys, counts, numbers, words = (batch.column(i)[r].values for i in (0, 1, 2, 4))
-            first = batch.column(3)[r].as_py()
-            new_ids = ids_of(np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4"))
-            lengths = np.concatenate([lengths[:first], pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)])
-            ids = np.concatenate([ids[: lengths[:first].sum()], new_ids])
-            starts, numbers = np.cumsum(lengths) - lengths, numbers.to_numpy()
-            ends = np.cumsum(counts.to_numpy())
-            for low in range(0, len(ends), 64):  # a few texts at a time bound the memory
-                high = min(len(ends), low + 64)
-                begin = ends[low - 1] if low else 0
-                part = numbers[begin : ends[high - 1]]
-                n = lengths[part]
-                at = np.concatenate([[0], np.cumsum(n)])
-                flat = ids[np.repeat(starts[part] - at[:-1], n) + np.arange(at[-1])]
-                cuts = at[np.concatenate([[0], ends[low:high] - begin])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([keys[low:high], pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int32()))], ["key", "ids"])
-
-
-def encode(documents: DataFrame, ranks: Ranks, id_column: str = "doc_id", text_column: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lengths = known.value
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys, counts, words = (batch.column(i)[r].values for i in (0, 1, 4))
+                numbers, first = np.frombuffer(batch.column(2)[r].as_buffer(), np.int32), batch.column(3)[r].as_py()
+                lengths = np.concatenate([lengths[:first], pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) // width])
+                ids = np.concatenate([ids[: lengths[:first].sum()], unpacked(b"".join(words.to_pylist()), width)])
+                starts = np.cumsum(lengths) - lengths
+                ends = np.cumsum(counts.to_numpy())
+                for low in range(0, len(ends), 64):  # a few texts at a time bound the memory
+                    high = min(len(ends), low + 64)
+                    begin = ends[low - 1] if low else 0
+                    part = numbers[begin : ends[high - 1]]
+                    n = lengths[part]
+                    at = np.concatenate([[0], np.cumsum(n)])
+                    flat = ids[np.repeat(starts[part] - at[:-1], n) + np.arange(at[-1])]
+                    cuts = at[np.concatenate([[0], ends[low:high] - begin])].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([keys[low:high], pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int32()))], ["key", "ids"])
+
+    return run
+
+
+def encode(documents: DataFrame, ranks: Ranks, id_column: str = "doc_id", text_column: str = "text", block_chars: int = BLOCK_CHARS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, ids): token ids of each text, each match of the pattern on its own, without special tokens.
 
     Null texts count as empty and give an empty array; null ids, ties and repeated rows are kept row by row;
-    very long texts become blocks of their own; further columns are dropped.
+    very long texts become blocks of their own; an empty table gives an empty result; further columns are dropped.
+    `sample_rows`: rows whose words are folded beforehand, 0 for none; it changes no result.
     """
-    size, table, ids = ranks.table
     rows = pick(documents, key=id_column, text=text_column).select(F.col("key").cast("bigint"), "text")
-    kinds = "keys array<bigint>, counts array<int>, numbers array<int>, first int, words array<string>"
-    blocks = rows.mapInArrow(split_blocks(ranks.ranks, ranks.pattern, block_chars), kinds)
-    pairs, made = literal(table), literal(ids).cast("array<int>")
-    chars = literal(",".join(char_of(i) for i in range(max(ranks.ranks.values()) + 1)))
-    fold = lambda p, r, c: F.transform("words", lambda w: fold_merges(w, p, r, c, size))
-    folded = let(pairs, lambda p: let(made, lambda r: let(chars, lambda c: fold(p, r, c))))
-    joined = blocks.select("keys", "counts", "numbers", "first", folded.alias("words")).mapInArrow(join_blocks, "key bigint, ids array<int>")
+    words, ids, lengths = known_words(rows, ranks, sample_rows)
+    known, known_ids = map(documents.sparkSession.sparkContext.broadcast, (words, (ids, lengths)))
+    kinds = "keys array<bigint>, counts array<int>, numbers binary, first int, words array<binary>"
+    blocks = rows.mapInArrow(split_blocks(ranks.ranks, ranks.pattern, ranks.width, block_chars, known), kinds)
+    joined = blocks.select("keys", "counts", "numbers", "first", folded(F.col("words"), ranks).alias("words")).mapInArrow(join_blocks(ranks.width, known_ids), "key bigint, ids array<int>")
     return joined.select(F.col("key").alias(id_column), "ids")
 
 
