@@ -22,6 +22,11 @@ def xx(*strings):
     return signed(seed)
 
 
+def xx_long(x):
+    """Spark's xxhash64 of one long column."""
+    return signed(xxhash.xxh64_intdigest((x & MASK).to_bytes(8, "little"), 42))
+
+
 def ascii_lower(s):
     return re.sub("[A-Z]", lambda m: m[0].lower(), s)
 

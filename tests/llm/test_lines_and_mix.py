@@ -1,18 +1,19 @@
 """Line dedup and mixing against brute force."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
 import pytest
 
-from tributary.llm import line_dedup, mixing
+from tributary.llm import line_dedup, mixing, queries
 from tributary.llm.common import read_table
 
 from . import brute
 
 
-def brute_repeats(docs, min_words):
-    """docs: (id, text). Per document the text without later copies, None where it is emptied."""
+def brute_repeats(docs, min_words, drop_emptied=True):
+    """docs: (id, text). Per document the text without later copies, without documents that are emptied."""
     order = sorted(set((i, t or "") for i, t in docs), key=lambda d: (d[0] is None, d[0] or 0, brute.xx(d[1])))
     seen, gone = set(), defaultdict(set)
     for doc in order:
@@ -32,7 +33,7 @@ def brute_repeats(docs, min_words):
         lines = (t or "").split("\n")
         cut = gone.get((i, t or ""), set())
         rest = [x for k, x in enumerate(lines) if k not in cut]
-        if not cut or any(brute.WORD.search(x) for x in rest):
+        if not drop_emptied or not cut or any(brute.WORD.search(x) for x in rest):
             out.append((i, "\n".join(rest) if cut else t))
     return out
 
@@ -108,9 +109,52 @@ def test_mixing_documents(spark, sf_dir):
     assert sorted(r["doc_id"] for r in mixed.collect()) == sorted(r["doc_id"] for r in rows if r["in_mix"])
 
 
+def brute_mix(docs, block, period, exponent):
+    """docs: (id, source, text). Per (id, source) its slot and place, by simulating every slot of the whole mix."""
+    sources = {}
+    for i, s, t in docs:
+        mixed = brute.xx_long(-1 if i is None else i)
+        sources.setdefault(s or "", []).append(((mixed % 64, mixed, i is not None, i or 0), i))  # 64 cells while sources are small
+    target = {s: len(rows) ** exponent for s, rows in sources.items()}
+    total = sum(target.values())
+    exact = {s: x / total * period for s, x in target.items()}
+    share = {s: max(1, int(x)) for s, x in exact.items()}
+    while sum(share.values()) != period:  # largest remainders, one slot at a time
+        lack = sum(share.values()) < period
+        s = min(share, key=lambda s: (share[s] - exact[s], s)) if lack else max((s for s in share if share[s] > 1), key=lambda s: (share[s] - exact[s], s))
+        share[s] += 1 if lack else -1
+    blocks = {s: -(-len(rows) // block) for s, rows in sources.items()}
+    run, slot, out = dict.fromkeys(share, 0), 0, {}
+    rows_of = {s: [i for _, i in sorted(rows)] for s, rows in sources.items()}
+    while any(run[s] < blocks[s] for s in share):
+        released = [s for s in share if run[s] * period // share[s] <= slot]
+        s = min(released, key=lambda s: (-(-(run[s] + 1) * period // share[s]), s))
+        for k, i in enumerate(rows_of[s][run[s] * block : (run[s] + 1) * block]):
+            out[i, s] = (slot, slot * block + k)
+        run[s], slot = run[s] + 1, slot + 1
+    return out
+
+
+def test_mixing_query_against_a_simulation_of_all_slots(spark, sf_dir):
+    docs = [(r["doc_id"], r["source"], r["text"]) for r in read_table(spark, sf_dir, "documents").collect()]
+    want = brute_mix(docs, mixing.BLOCK, mixing.PERIOD, mixing.EXPONENT)
+    assert {(r["doc_id"], r["source"]): (r["slot"], r["position"]) for r in queries.op6_mixing(spark, sf_dir).collect()} == want
+    small = brute_mix(docs, 2, 64, 0.5)
+    got = mixing.schedule(read_table(spark, sf_dir, "documents"), block=2, period=64, exponent=0.5)
+    assert {(r["doc_id"], r["source"]): (r["slot"], r["position"]) for r in got.collect()} == small
+
+
+def test_line_dedup_query(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in read_table(spark, sf_dir, "documents").collect()]
+    left = dict(brute_repeats(docs, line_dedup.MIN_WORDS, drop_emptied=False))
+    got = {r["doc_id"]: (r["n_chars_left"], r["text_sha256"]) for r in queries.op7_line_dedup(spark, sf_dir).collect()}
+    assert got == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in left.items()} and len(got) == len(docs)
+
+
 def test_mixing_odd_rows(spark):
     data = [(i, "hot" if i % 3 else f"s{i % 7}", f"t{i}") for i in range(900)] + [(None, None, None)] * 9 + [(1, "hot", "t1")] * 40 + [(2, "other", "x")] * 3
-    frame = spark.createDataFrame([(*d, "z") for d in data], "doc_id long, source string, text string, slot string")
+    clashing = ["slot", "position", "mix_id", "row", "id", "of_id", "turn", "text_hash"]
+    frame = spark.createDataFrame([(*d, *["z"] * len(clashing)) for d in data], "doc_id long, source string, text string, " + ", ".join(f"{c} string" for c in clashing))
     weights = {"hot": 3.0, "": 0.5, **{f"s{k}": 1.0 for k in range(7)}, "absent": 9.0}
     rows = mixing.schedule(frame, weights, block=5).collect()
     check_mix([r for r in rows if r["slot"] is not None], mixing.shares({k: v for k, v in weights.items() if k != "absent"}, mixing.PERIOD), 5)
@@ -118,6 +162,7 @@ def test_mixing_odd_rows(spark):
     got = Counter((r["doc_id"], r["text"]) for r in mixing.mix(frame, weights, block=5).collect())
     told = Counter((r["doc_id"], r["source"]) for r in rows if r["in_mix"])
     assert sum(got.values()) == sum(told.values()) and got[1, "t1"] == told[1, "hot"]
+    assert mixing.mix(frame, weights, block=5).columns == frame.columns and {r["mix_id"] for r in mixing.mix(frame).collect()} == {"z"}
     assert mixing.schedule(frame.limit(0)).count() == 0 and mixing.mix(frame.limit(0)).count() == 0
 
 

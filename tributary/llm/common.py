@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,12 +28,15 @@ def pick(frame: DataFrame, **columns: str) -> DataFrame:
 def cut(frame: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a checkpoint in the shared folder that the session names.
 
-    `spark.checkpoint.dir` is read from the session; only where it is unset (tests on one machine)
-    a folder of our own is used. Checkpoint files outlive executors.
+    `spark.checkpoint.dir` is read from the session; only where it is unset and driver and executors are one
+    process (tests) a folder of our own is used. Checkpoint files outlive executors.
     """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     done = frame.checkpoint(eager=True)
     tidy(frame.sparkSession)
     return done

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import pick
 
 #: Documents of a block; slots of a period at least; weight exponent; most sources that a mix may have.
-BLOCK, PERIOD, EXPONENT, MAX_SOURCES = 64, 1024, 0.7, 8192
+BLOCK, PERIOD, EXPONENT, MAX_SOURCES = 64, 1024, 0.7, 1 << 15
 #: Rows of a numbering cell, about.
 CELL = 20_000
 
@@ -118,15 +118,17 @@ def schedule(documents: DataFrame, weights: dict[str, float] | None = None, bloc
 def mix(documents: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, exponent: float = EXPONENT, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", whole: bool | None = None) -> DataFrame:
     """The documents of the mix in its order, in the columns of the input: those that `schedule` has in it.
 
-    Rows that agree in id, source and text are in the mix as often as the schedule has them in it.
+    Rows that agree in id, source and text are in the mix as often as the schedule has them in it. Null ids and
+    sources, empty tables and very long texts are as in `schedule`; further columns go along, whatever their names.
     """
+    keys = ["id", "source", "text_hash"]
     chosen = schedule(documents, weights, block, period, exponent, id_column, source_column, text_column, whole).where("in_mix")
-    chosen = chosen.select(F.col(id_column).alias("mix_id"), F.col("source").alias("mix_source"), F.col("text_hash").alias("mix_hash"), F.col("position").alias("mix_position"))
-    keys = {"mix_key_id": F.col(f"`{id_column}`"), "mix_key_source": F.coalesce(F.col(f"`{source_column}`"), F.lit("")), "mix_key_hash": F.xxhash64(F.col(f"`{text_column}`"))}
-    same = F.col("mix_key_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_key_source") == F.col("mix_source")) & (F.col("mix_key_hash") == F.col("mix_hash"))
-    rows = documents.select("*", *(v.alias(k) for k, v in keys.items()))
-    if not chosen.groupBy("mix_id", "mix_source", "mix_hash").count().where("count > 1").isEmpty():
-        chosen = chosen.withColumn("mix_rank", F.row_number().over(Window.partitionBy("mix_id", "mix_source", "mix_hash").orderBy("mix_position")))
-        rows = rows.withColumn("mix_key_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
-        same = same & (F.col("mix_key_rank") == F.col("mix_rank"))
-    return rows.join(chosen, same).orderBy("mix_position").select(documents.columns)
+    chosen = chosen.select(F.col(id_column).alias("of_id"), F.col("source").alias("of_source"), F.col("text_hash").alias("of_hash"), "position")
+    named = [F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{source_column}`"), F.lit("")).alias("source"), F.xxhash64(F.col(f"`{text_column}`")).alias("text_hash")]
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), *named)
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("source") == F.col("of_source")) & (F.col("text_hash") == F.col("of_hash"))
+    if not chosen.groupBy("of_id", "of_source", "of_hash").count().where("count > 1").isEmpty():
+        chosen = chosen.withColumn("turn", F.row_number().over(Window.partitionBy("of_id", "of_source", "of_hash").orderBy("position")))
+        rows = rows.withColumn("of_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+        same = same & (F.col("turn") == F.col("of_turn"))
+    return rows.join(chosen, same).orderBy("position").select(*(F.col("row")[c].alias(c) for c in documents.columns))
