@@ -115,6 +115,7 @@ def brute_mix(docs, block, period, exponent):
     for i, s, t in docs:
         mixed = brute.xx_long(-1 if i is None else i)
         sources.setdefault(s or "", []).append(((mixed % 64, mixed, i is not None, i or 0), i))  # 64 cells while sources are small
+    period = max(period, 8 * len(sources))
     target = {s: len(rows) ** exponent for s, rows in sources.items()}
     total = sum(target.values())
     exact = {s: x / total * period for s, x in target.items()}

@@ -8,8 +8,9 @@ smallest hash among the three-word windows of what they have of their own: lines
 edits of such lines (which share one of their least window hashes with them). Texts without lines of their own,
 as exact or edited copies, are told apart by the smallest hash of all their lines.
 
-Lines are reduced to hashes row by row, and aggregations and joins are of hashes only; texts are never shuffled by
-the query. Keys are only made for documents that hold a line above the limit. A hot line or host meets partial counts.
+One scan reduces each text to its metrics and its lines' hashes, which are written; aggregations and joins are of
+these only, and texts are never shuffled by the query (`clean` shuffles them once). Keys are only made for documents that
+hold a line above the limit. A hot line or host meets partial counts.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, let, pick
+from .common import SPACE_CLASS, cut, let, pick
 
 #: Rules of the base check.
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -75,14 +76,19 @@ def repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(covered)
 
 
-def line_sketches(text: Column) -> Column:
-    """The distinct lines of a text: their hashes and their least window hashes, in order; none for fewer than three words."""
+def told_lines(text: Column) -> Column:
+    """The lines of a text that hold a word, as structs: position among all lines, hash, words, least window hashes
+    in order (none for fewer than three words)."""
 
-    def told(line: Column) -> Column:
-        windows = let(F.filter(F.split(line, " "), lambda w: w != ""), window_hashes)
-        return F.struct(F.xxhash64(line).alias("line"), F.slice(F.sort_array(F.array_distinct(windows)), 1, SKETCH).alias("sketch"))
+    def told(position: Column, normal: Column) -> Column:
+        def of(words: Column) -> Column:
+            sketch = F.slice(F.sort_array(F.array_distinct(window_hashes(words))), 1, SKETCH)
+            return F.struct(position.alias("position"), F.xxhash64(normal).alias("line"), F.size(words).alias("n"), sketch.alias("sketch"))
 
-    return F.array_distinct(F.transform(lines_of(text), lambda x: let(normal_line(x), told)))
+        return let(F.filter(F.split(normal, " "), lambda w: w != ""), of)
+
+    every = F.transform(F.split(text, "\n"), lambda x, i: let(normal_line(x), lambda normal: told(i, normal)))
+    return F.filter(every, lambda x: x["n"] > 0)
 
 
 def metrics(text: Column) -> Column:
@@ -107,41 +113,44 @@ def base_failed(told: Column) -> Column:
     return (told["n_words"] < MIN_WORDS) | (100 * told["n_repeat_words"] > MAX_REPEATED_PERCENT * told["n_words"])
 
 
-def base_metrics(documents: DataFrame) -> DataFrame:
-    """The base check of each row of (id, source, text): columns id, source, text_hash, n_words ... base_failed."""
-    told = documents.select("id", "source", F.xxhash64("text").alias("text_hash"), metrics(F.col("text")).alias("told"))
-    return told.select("id", "source", "text_hash", "told.*", base_failed(F.col("told")).alias("base_failed"))
+def reduced(documents: DataFrame) -> DataFrame:
+    """Each row of (id, source, text) as its number d, id, source, text_hash, n_words ... base_failed, lines; written to the checkpoint folder."""
+    told = documents.select("id", "source", F.xxhash64("text").alias("text_hash"), metrics(F.col("text")).alias("told"), told_lines(F.col("text")).alias("lines"))
+    told = told.select(F.monotonically_increasing_id().alias("d"), "id", "source", "text_hash", "told", "lines")
+    return cut(told).select("d", "id", "source", "text_hash", "told.*", base_failed(F.col("told")).alias("base_failed"), "lines")
+
+
+def holders_of(rows: DataFrame, max_documents: int) -> DataFrame:
+    """(d, source, text_hash, lines, over): the rows of `reduced` that hold lines above the limit, and these."""
+    lines = rows.select("d", "source", F.explode(F.array_distinct("lines.line")).alias("line"))
+    over = lines.groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select("source", "line")
+    held = lines.join(over, ["source", "line"], "left_semi").groupBy("d").agg(F.collect_set("line").alias("over"))
+    return cut(rows.select("d", "source", "text_hash", "lines").join(held, "d"))
 
 
-def frequent_lines(documents: DataFrame, max_documents: int = MAX_DOCUMENTS, copy_share: float = COPY_SHARE) -> DataFrame:
-    """(source, line): hashes of the lines of (id, source, text) that are above the limit in their host."""
-    host, text = ["source"], ["source", "text_hash"]
-    texts = documents.select("source", F.xxhash64("text").alias("text_hash"), line_sketches(F.col("text")).alias("lines"))
-    texts = texts.groupBy(*text).agg(F.first("lines").alias("lines"), F.count("*").alias("n"))
-    lines = texts.select(*text, "n", F.explode("lines.line").alias("line"))
-    over = lines.groupBy("source", "line").agg(F.sum("n").alias("n")).where(F.col("n") > max_documents).select("source", "line")
-    held = lines.join(over, ["source", "line"], "left_semi").groupBy(*text).agg(F.collect_set("line").alias("over"))
-    holders = texts.join(held, text)
-    rest = holders.select(*text, F.explode(F.filter("lines", lambda x: (F.size(x["sketch"]) > 0) & ~F.array_contains("over", x["line"]))).alias("told")).select(*text, "told.*")
+def frequent_lines(holders: DataFrame, copy_share: float = COPY_SHARE) -> DataFrame:
+    """(source, line): the lines above the limit that aren't mostly held by copies of one text."""
+    mine = lambda x: F.array_contains("over", x["line"])
+    rest = holders.select("d", "source", F.explode(F.filter("lines", lambda x: (F.size(x["sketch"]) > 0) & ~mine(x))).alias("x")).select("d", "source", "x.line", "x.sketch")
     # Lines that share a least window hash with one over the limit are edits of it.
-    common = holders.select(*host, F.explode(F.filter("lines", lambda x: F.array_contains("over", x["line"]))).alias("told"))
-    common = common.select(*host, F.explode("told.sketch").alias("window")).distinct()
-    edits = rest.select(*host, "line", F.explode("sketch").alias("window")).distinct().join(common, ["source", "window"], "left_semi").select("source", "line").distinct()
-    own = rest.join(edits, ["source", "line"], "left_anti").groupBy(*text).agg(F.min(F.get("sketch", F.lit(0))).alias("own_key"))
+    common = holders.select("source", F.explode(F.filter("lines", mine)).alias("x")).select("source", F.explode("x.sketch").alias("window")).distinct()
+    edits = rest.select("source", "line", F.explode("sketch").alias("window")).distinct().join(common, ["source", "window"], "left_semi").select("source", "line").distinct()
+    own = rest.join(edits, ["source", "line"], "left_anti").groupBy("d").agg(F.min(F.get("sketch", F.lit(0))).alias("own_key"))
     whole_key = F.array_min(F.transform("lines", lambda x: F.get(x["sketch"], F.lit(0))))
-    keyed = holders.join(own, text, "left").select("source", "n", F.coalesce("own_key", whole_key, "text_hash").alias("copy_key"), F.explode("over").alias("line"))
-    by_text = keyed.groupBy("source", "line", "copy_key").agg(F.sum("n").alias("n"))
+    keys = holders.select("d", "source", "over", F.coalesce(whole_key, "text_hash").alias("whole_key"))
+    keyed = keys.join(own, "d", "left").select("source", F.coalesce("own_key", "whole_key").alias("copy_key"), F.explode("over").alias("line"))
+    by_text = keyed.groupBy("source", "line", "copy_key").agg(F.count("*").alias("n"))
     by_line = by_text.groupBy("source", "line").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     return by_line.where(F.col("most") < copy_share * F.col("n")).select("source", "line")
 
 
-def removed_lines(documents: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(id, source, text_hash, position, n): the lines to remove and their words. Identical rows share one entry."""
-    split = F.split(F.col("text"), "\n")
-    told = F.transform(split, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words_of(x)).alias("n")))
-    lines = documents.select("id", "source", F.xxhash64("text").alias("text_hash"), F.posexplode(told).alias("position", "told"))
-    lines = lines.select("id", "source", "text_hash", "position", F.col("told.line").alias("line"), F.col("told.n").alias("n")).where("n > 0")
-    return lines.join(frequent, ["source", "line"], "left_semi").groupBy("id", "source", "text_hash", "position").agg(F.max("n").alias("n"))
+def verdicts(rows: DataFrame, max_documents: int, min_remaining: float) -> DataFrame:
+    """Rows of `reduced` without their lines, with n_removed, `gone` (positions of removed lines, null for none) and kept."""
+    holders = holders_of(rows, max_documents)
+    lines = holders.select("d", "source", F.explode(F.filter("lines", lambda x: F.array_contains("over", x["line"]))).alias("x")).select("d", "source", "x.position", "x.line", "x.n")
+    removed = lines.join(frequent_lines(holders), ["source", "line"], "left_semi").groupBy("d").agg(F.sum("n").alias("n_removed"), F.collect_set("position").alias("gone"))
+    told = rows.drop("lines").join(removed, "d", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("bigint"))
+    return told.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed") >= min_remaining * F.col("n_words")))
 
 
 def normal_input(documents: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
@@ -155,46 +164,28 @@ def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     Null texts count as empty (base_failed), a null host as the host ''. Rows that agree in id, host and text
     get the same verdict, each its own row. Very long texts cost O(n log n). Further columns are dropped.
     """
-    rows = normal_input(documents, id_column, text_column, host_column)
-    removed = removed_lines(rows, frequent_lines(rows, max_documents)).groupBy("id", "source", "text_hash").agg(F.sum("n").alias("n_removed"))
-    joined = null_safe_join(base_metrics(rows), removed, ["id", "source", "text_hash"]).withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("bigint"))
-    kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed") >= min_remaining * F.col("n_words"))
-    return joined.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", kept.alias("kept"))
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left outer join in which a null id equals a null id; the right side's keys are dropped."""
-    told = right.select(*(F.col(k).alias(f"right_{k}") for k in keys), *(c for c in right.columns if c not in keys))
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"right_{k}"))
-    return left.join(told, condition, "left").drop(*(f"right_{k}" for k in keys))
+    told = verdicts(reduced(normal_input(documents, id_column, text_column, host_column)), max_documents, min_remaining)
+    return told.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", "kept")
 
 
 def clean(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", size_column: str = "n_chars", max_documents: int = MAX_DOCUMENTS, min_remaining: float = MIN_REMAINING) -> DataFrame:
     """The documents that are kept, without their removed lines, in the columns of the input.
 
     `size_column`, where the input has it, is set to the new number of code points. Texts that lose no line
-    stay as they are.
+    stay as they are. Null texts count as empty and go, null hosts are the host '', null ids are kept like others;
+    rows that agree in id, host and text meet one verdict. An empty table gives an empty result. Further columns go
+    along, whatever their names.
     """
     columns = documents.columns
-    rows = normal_input(documents, id_column, text_column, host_column)
-    removed = removed_lines(rows, frequent_lines(rows, max_documents))
-    gone = removed.groupBy("id", "source", "text_hash").agg(F.sum("n").alias("n_removed"), F.collect_set("position").alias("gone"))
-    whole = documents.select(
-        F.col(f"`{id_column}`").alias("id"),
-        F.coalesce(F.col(f"`{host_column}`"), F.lit("")).alias("source"),
-        F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"),
-        F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"),
-    )
-    told = whole.select("id", "source", "text", "row", F.xxhash64("text").alias("text_hash"), metrics(F.col("text")).alias("told"), F.monotonically_increasing_id().alias("at"))
-    # The row's number keeps the filter above the projection: below it, the metrics would be computed for each use.
-    passed = told.where(~base_failed(F.col("told")) & (F.col("at") >= 0)).select("id", "source", "text", "row", "text_hash", F.col("told.n_words").alias("n_words"))
-    joined = null_safe_join(passed, gone, ["id", "source", "text_hash"])
-    joined = joined.where(F.col("n_words") - F.coalesce("n_removed", F.lit(0)) >= min_remaining * F.col("n_words"))
-    lines = F.split(F.col("text"), "\n")
+    told = verdicts(reduced(normal_input(documents, id_column, text_column, host_column)), max_documents, min_remaining).where("kept")
+    told = told.groupBy(F.col("id").alias("of_id"), F.col("source").alias("of_source"), F.col("text_hash").alias("of_hash")).agg(F.first("gone").alias("gone"))
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    keyed = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{host_column}`"), F.lit("")).alias("source"), F.xxhash64(text).alias("text_hash"))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("source") == F.col("of_source")) & (F.col("text_hash") == F.col("of_hash"))
+    joined = keyed.join(told, same)
+    lines = F.split(F.col("row")[text_column], "\n")
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("row")[text_column]).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
     changed = joined.select("row", text.alias("new_text"))
     value = lambda c: (
         F.col("new_text") if c == text_column else F.length("new_text").cast("bigint") if c == size_column else F.col("row")[c]
