@@ -9,7 +9,8 @@ Block: magic, version, bytes for an id, number of documents, of ids, ids of the
 little-endian), then two Elias-Fano lists, the documents' end boundaries and their ids (minus the first),
 then the token ids. An Elias-Fano list stores the low bits of each value packed, and the high bits in
 unary in a bit vector; `select` of the i-th one in it gives value i back. That takes 2 + log2(u / n) bits for a
-boundary where a table takes 64.
+boundary where a table takes 64. The select structure is the number of ones before every 512th bit (32 bits
+for each, so a 16th more): a binary search in it, popcounts of the eight words behind and one word's bits tell the place.
 """
 
 from __future__ import annotations
@@ -41,8 +42,12 @@ class EliasFano:
     """A list of ascending integers (ties allowed) from 0 to below 2**63, in near-minimal space."""
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self._ones: np.ndarray | None = None
+        self.n, self.low_bits = n, low_bits
+        self.low, self.high = low, high
+        words = -(-len(high) // 64) * 8
+        self.words = np.frombuffer(high.ljust(8 * words, b"\0"), "<u8").reshape(-1, 8)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).sum(axis=1, dtype=np.uint32), dtype=np.uint32)])
+        self.windows = np.frombuffer(low + b"\0" * 8, np.uint8)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -72,16 +77,26 @@ class EliasFano:
     def select(self, index: np.ndarray) -> np.ndarray:
         """The values at the given positions: the place of the i-th one bit, less i, and the low bits."""
         index = np.asarray(index, np.int64)
-        if self._ones is None:
-            self._ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        value = (self._ones[index] - index) << self.low_bits
-        if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            value |= (bits[index].astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
-        return value
-
-    def values(self) -> np.ndarray:
-        return self.select(np.arange(self.n))
+        if not len(index):
+            return index
+        block = np.searchsorted(self.before, index, side="right") - 1
+        rest = index - self.before[block]
+        counts = np.cumsum(np.bitwise_count(self.words[block]), axis=1, dtype=np.int64)
+        word = (counts <= rest[:, None]).sum(axis=1)
+        rest = rest - np.where(word > 0, np.take_along_axis(counts, np.maximum(word - 1, 0)[:, None], axis=1)[:, 0], 0)
+        bits = np.unpackbits(self.words[block, word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bit = (np.cumsum(bits, axis=1, dtype=np.int64) <= rest[:, None]).sum(axis=1)
+        return (512 * block + 64 * word + bit - index) << self.low_bits | self.low_of(index)
+
+    def low_of(self, index: np.ndarray) -> np.ndarray:
+        """The low bits of the values: bytes from the one that holds the first bit on, shifted and masked."""
+        at = index * self.low_bits
+        value = np.zeros(len(index), np.uint64)
+        for k in range((self.low_bits + 14) // 8):
+            shift = 8 * k - (at & 7)
+            byte = self.windows[np.minimum((at >> 3) + k, len(self.windows) - 1)].astype(np.uint64)
+            value |= np.where(shift >= 0, byte << np.maximum(shift, 0).astype(np.uint64), byte >> np.maximum(-shift, 0).astype(np.uint64))
+        return (value & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
 
 def pack_block(keys: list[int], ids: list[np.ndarray], before: int, width: int) -> bytes:
@@ -96,22 +111,26 @@ def pack_block(keys: list[int], ids: list[np.ndarray], before: int, width: int)
 
 
 class Block:
-    """A block read back: `keys`, `starts` and `ends` (within the block), `before`, `tokens`."""
+    """A block read back: `n` documents, the ids of the file `before` it, `tokens`; keys and places come by `select`."""
 
     def __init__(self, data: bytes):
         view = memoryview(data)
-        magic, version, width, n, n_tokens, self.before = HEADER.unpack_from(view, 0)
+        magic, version, width, self.n, n_tokens, self.before = HEADER.unpack_from(view, 0)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a block of this format")
-        (first,) = struct.unpack_from("<q", view, HEADER.size)
-        boundaries, at = EliasFano.read(view, HEADER.size + 8)
-        keys, at = EliasFano.read(view, at)
-        self.ends, self.keys = boundaries.values(), keys.values() + first
-        self.starts = np.concatenate([[0], self.ends[:-1]]) if n else self.ends
+        (self.first,) = struct.unpack_from("<q", view, HEADER.size)
+        self.boundaries, at = EliasFano.read(view, HEADER.size + 8)
+        self.offsets, at = EliasFano.read(view, at)
         self.tokens = np.frombuffer(view, f"<u{width}", n_tokens, at)
 
+    def documents(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys, starts and ends (within the block) of some documents."""
+        ends = self.boundaries.select(np.arange(low, high))
+        start = self.boundaries.select(np.array([low - 1])) if low else [0]
+        return self.offsets.select(np.arange(low, high)) + self.first, np.concatenate([start, ends[:-1]]).astype(np.int64), ends
+
 
-def pieces(batch: pa.RecordBatch, rows: int = 200, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch of (key, text) in slices of so many rows or bytes of text at most; a longer text is a slice of its own."""
     lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
     low = total = 0
@@ -189,13 +208,13 @@ def read(spark: SparkSession, path: str, id_column: str = "doc_id", with_ids: bo
         for batch in batches:
             for file_start, null, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 block = Block(data)
-                for low in range(0, len(block.keys), 1024):
-                    part = slice(low, low + 1024)
-                    ids = [block.tokens[a:b].astype("<u4") for a, b in zip(block.starts[part], block.ends[part])]
+                for low in range(0, block.n, 1024):
+                    keys, starts, ends = block.documents(low, min(block.n, low + 1024))
+                    ids = [block.tokens[a:b].astype("<u4") for a, b in zip(starts, ends)]
                     columns = [
-                        pa.nulls(len(ids), pa.int64()) if null else pa.array(block.keys[part]),
-                        pa.array(file_start + block.before + block.starts[part], pa.int64()),
-                        pa.array(block.ends[part] - block.starts[part], pa.int64()),
+                        pa.nulls(len(ids), pa.int64()) if null else pa.array(keys),
+                        pa.array(file_start + block.before + starts, pa.int64()),
+                        pa.array(ends - starts, pa.int64()),
                         pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                     ]
                     if with_ids:

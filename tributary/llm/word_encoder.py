@@ -2,13 +2,15 @@
 
 A byte-level BPE tokenizer encodes each match of its splitting pattern on its own, so a text's ids are
 those of its matches in order. Each Python worker keeps the ids of the matches it has met, encoded by the
-library, and drops them all when there are too many; results don't depend on the cache.
+library, in two generations: when the younger one is full it becomes the older one, which is dropped. Results don't
+depend on the cache. A text in which one of the tokenizer's added tokens occurs is given to the library as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterable
+from array import array
 
 import numpy as np
 
@@ -16,14 +18,14 @@ from .splitting import splitter
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pre-tokens that a worker remembers at most (about 100 bytes each).
-CACHE_SIZE = 250_000
+#: Pre-tokens of a generation at most (about 150 bytes each).
+GENERATION = 250_000
 #: Longer ones are encoded each time.
 CACHED_LENGTH = 64
 
 
 class WordEncoder:
-    """`definition`: the tokenizer's JSON. Strings of special tokens inside texts are ordinary text."""
+    """`definition`: the tokenizer's JSON. Ids are those of the library with add_special_tokens=False."""
 
     _kept: dict[int, WordEncoder] = {}
 
@@ -31,10 +33,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token["content"] for token in json.loads(definition).get("added_tokens") or []]
         self.find = splitter(pattern)
-        self.known: dict[str, bytes] = {}
-        (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, definition: str, pattern: str) -> WordEncoder:
@@ -45,36 +47,33 @@ class WordEncoder:
             cls._kept[key] = cls(definition, pattern)
         return cls._kept[key]
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Adds words to the cache. Plain words are encoded many at a time, between line feeds, which the pattern
-        splits off and whose id no plain word has."""
-        plain, other = [], []
-        for word in words:
-            (plain if (word[1:] if word[0] == " " else word).isalpha() else other).append(word)
-        for low in range(0, len(plain), 4000):
-            part = plain[low : low + 4000]
-            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line_feed)
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the tokenizer doesn't split at line feeds")
-            raw, ends = ids.tobytes(), (4 * cuts).tolist() + [4 * len(ids)]
-            start = 0
-            for word, end in zip(part, ends):
-                self.known[word] = raw[start:end]
-                start = end + 4
-        for word, told in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.known[word] = np.array(told.ids, "<u4").tobytes()
+    def known(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words, as bytes of 32-bit integers; those that aren't in the cache are encoded and put there."""
+        if len(self.young) > GENERATION:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = []
+        for word in words.difference(young):
+            if (ids := old.get(word)) is None:
+                new.append(word)
+            else:
+                young[word] = ids
+        for word, told in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            young[word] = array("I", told.ids).tobytes()
+        return young
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts."""
-        split = [self.find(text) for text in texts]
+        whole = [any(token in text for token in self.added) for text in texts]
+        split = [[] if odd else self.find(text) for text, odd in zip(texts, whole)]
         distinct = set().union(*split)
-        if len(self.known) > CACHE_SIZE:
-            self.known.clear()
-        self.learn(distinct.difference(self.known))
-        known = self.known.__getitem__
-        found = [np.frombuffer(b"".join(map(known, words)), "<u4") for words in split]
+        known = self.known(distinct)
+        ids_of = known.__getitem__
+        found = [np.frombuffer(b"".join(map(ids_of, words)), "<u4") for words in split]
         for word in distinct:
             if len(word) > CACHED_LENGTH:
-                del self.known[word]
+                del known[word]
+        for i, odd in enumerate(whole):
+            if odd:
+                found[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
         return found
