@@ -146,6 +146,8 @@ def bigquery_add(temporal, sign):
 def bigquery_diff(temporal):
     def build(e, node, a):
         unit = part(node.args[2])
+        if temporal == "TIMESTAMP" and unit in {"DAY", "HOUR", "MINUTE", "SECOND", "MILLISECOND", "MICROSECOND"}:
+            return f"timestampdiff({unit}, {a[1]}, {a[0]})"  # complete units, not boundaries
         return time_boundaries(unit, a[1], a[0]) if temporal == "TIME" else boundaries(unit, a[1], a[0])
 
     return build
@@ -231,7 +233,13 @@ def format_bigquery(temporal):
 
 
 def parse_bigquery(spark):
-    return lambda e, node, a: f"{'try_' * node.safe}{spark}({a[1]}, {_pattern(node, a, 0, formats.from_strftime)})"
+    def build(e, node, a):
+        pattern = re.sub("HH(?=:)|hh(?=:)", lambda m: m[0][0], _pattern(node, a, 0, formats.from_strftime))  # hours of one digit too
+        # AM and PM are taken in either case, as upper-case letters.
+        value = f"upper({a[1]})" if re.search("(^|[^a-zA-Z])a($|[^a-zA-Z])", pattern.strip("'")) else a[1]
+        return f"{'try_' * node.safe}{spark}({value}, {pattern})"
+
+    return build
 
 
 def parse_template(spark, fallback):

@@ -43,12 +43,11 @@ def apply(engine, node: t.Node, dialect: str, params=None) -> DataFrame:
             return spark.sql(f"SELECT {', '.join(items)} FROM {table} AS {alias}")
         source = e.relation(node.source)
         values = ", ".join(f"'{c}', {v}" for c, v in changes.items())
-        # One matching row of the source gives the values; rows are told apart by a number of their own.
-        numbered = spark.sql(f"SELECT *, monotonically_increasing_id() AS row__ FROM {table}")
-        numbered.createOrReplaceTempView("updated__")
-        hits = f"SELECT {alias}.row__ AS hit__, any_value(named_struct({values})) AS new__ FROM updated__ AS {alias}, {source} WHERE {where} GROUP BY {alias}.row__"
+        # One matching row of the source gives the values. A row is its own key: equal rows meet the same change.
+        key = lambda of: f"struct({', '.join(f'{of}.{quote(c)}' for c in columns)})"
+        hits = f"SELECT {key(alias)} AS hit__, any_value(named_struct({values})) AS new__ FROM {table} AS {alias}, {source} WHERE {where} GROUP BY {key(alias)}"
         items = (f"CASE WHEN hit__ IS NOT NULL THEN new__.{quote(c.lower())} ELSE u.{quote(c)} END AS {quote(c)}" if c.lower() in changes else f"u.{quote(c)}" for c in columns)
-        return spark.sql(f"SELECT {', '.join(items)} FROM updated__ AS u LEFT JOIN ({hits}) ON u.row__ = hit__")
+        return spark.sql(f"SELECT {', '.join(items)} FROM {table} AS u LEFT JOIN ({hits}) ON {key('u')} <=> hit__")
     return merge(engine, node, e, table, alias, columns)
 
 

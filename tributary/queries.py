@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import function_queries
 from .plans import tree as t
 from .plans.emit import Emitter
 from .plans.engine import Engine
@@ -45,7 +47,6 @@ QUERIES: list[tuple[str, str, str, str | None]] = [
     ("rlike_whole", "snowflake", "SELECT p_partkey FROM part WHERE p_brand RLIKE 'Brand#[1-2][0-9]*'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#[1-2][0-9]*')"),
     ("case_in_between", "any", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity BETWEEN 10 AND 20 THEN 'mid' WHEN l_quantity > 20 THEN 'high' ELSE 'low' END AS band FROM lineitem WHERE l_returnflag IN ('A', 'R')", None),
     ("select_as_struct", "bigquery", "SELECT s.value_table.k AS k, s.value_table.n AS n FROM (SELECT AS STRUCT n_nationkey AS k, n_name AS n FROM nation) AS s", "SELECT n_nationkey AS k, n_name AS n FROM nation"),
-    ("safe_cast", "bigquery", "SELECT event_id, SAFE_CAST(event_type AS INT64) AS bad, CAST(value AS INT64) AS v FROM events WHERE event_id < 50", "SELECT event_id, try_cast(event_type AS BIGINT) AS bad, CAST(value AS BIGINT) AS v FROM events WHERE event_id < 50"),
     ("safe_cast_all", "bigquery", "SELECT event_id, SAFE_CAST(event_type AS INT64) AS bad, CAST(value AS INT64) AS v FROM events", "SELECT event_id, try_cast(event_type AS BIGINT) AS bad, CAST(round(value) AS BIGINT) AS v FROM events"),
     ("cte_nested", "any", "WITH a AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey), b AS (SELECT * FROM a WHERE total > 100000) SELECT c_name, total FROM b JOIN customer ON c_custkey = o_custkey", None),
     ("recursive_cte", "any", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT n FROM r", None),
@@ -133,7 +134,6 @@ QUERIES: list[tuple[str, str, str, str | None]] = [
     ("arr_slice", "snowflake", "SELECT vec_id, ARRAY_SIZE(embedding) AS n, ROUND(ARRAY_MAX(ARRAY_SLICE(embedding, 0, 5)), 5) AS m FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS INT) AS n, round(list_max(embedding[1:5]), 5) AS m FROM embeddings"),
     ("arr_position", "snowflake", "SELECT n_nationkey, ARRAY_POSITION(n_regionkey, ARRAY_CONSTRUCT(4, 3, 2, 1)) AS p, ARRAY_CONTAINS(n_regionkey, ARRAY_CONSTRUCT(1, 2)) AS c FROM nation", "SELECT n_nationkey, CAST(list_position([4, 3, 2, 1], n_regionkey) - 1 AS BIGINT) AS p, list_contains([1, 2], n_regionkey) AS c FROM nation"),
     ("arr_compact", "snowflake", "SELECT n_nationkey, ARRAY_SIZE(ARRAY_CONSTRUCT_COMPACT(n_regionkey, NULLIF(n_regionkey, 1), NULL)) AS n FROM nation", "SELECT n_nationkey, CAST(CASE WHEN n_regionkey = 1 THEN 1 ELSE 2 END AS INT) AS n FROM nation"),
-    ("unnest_embedding", "bigquery", "SELECT vec_id, o, ROUND(CAST(x AS FLOAT64), 5) AS x FROM embeddings, UNNEST(embedding) AS x WITH OFFSET AS o WHERE o < 3", "SELECT vec_id, CAST(o - 1 AS INT) AS o, round(CAST(embedding[o] AS DOUBLE), 5) AS x FROM embeddings, unnest([1, 2, 3]) AS u(o)"),
     ("unnest_embedding_all", "bigquery", "SELECT vec_id, o, CAST(x AS FLOAT64) AS x FROM embeddings, UNNEST(embedding) AS x WITH OFFSET AS o", "SELECT vec_id, CAST(o - 1 AS INT) AS o, CAST(embedding[o] AS DOUBLE) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(o)"),
     ("split_to_table", "snowflake", "SELECT p_partkey, s.index, s.value FROM part, LATERAL SPLIT_TO_TABLE(p_type, ' ') AS s WHERE s.index > 0", "SELECT p_partkey, CAST(i AS INT) AS index, string_split(p_type, ' ')[i] AS value FROM part, unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS u(i)"),
     ("generator", "snowflake", "SELECT seq4 AS n FROM TABLE(GENERATOR(ROWCOUNT => 50))", "SELECT range AS n FROM range(50)"),
@@ -153,6 +153,9 @@ QUERIES: list[tuple[str, str, str, str | None]] = [
 ]
 
 
+QUERIES += function_queries.queries()
+
+
 def run(spark: SparkSession, sf_dir: str, dialect: str, sql: str) -> DataFrame:
     """The query with views over the tables that it names."""
     engine, node = Engine(spark), parse(sql, dialect)
@@ -204,6 +207,52 @@ def replaced_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, "any", replace_tables("WITH part AS (SELECT n_name FROM area) SELECT part.n_name FROM part", {"area": "nation", "part": "nowhere"}))
 
 
+def unpiped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.refactor import unpipe
+
+    return run(spark, sf_dir, "bigquery", unpipe(Q13, "bigquery"))
+
+
+def script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last statement of a script that makes, changes and reads a temporary view."""
+    engine = Engine(spark)
+    engine.register_tables(sf_dir, ["supplier"])
+    return engine.run_script(
+        "CREATE TEMP VIEW script_rows AS SELECT s_suppkey, s_acctbal FROM supplier; UPDATE script_rows SET s_acctbal = 0 WHERE s_acctbal < 0; "
+        "INSERT INTO script_rows VALUES (-1, 1.5); DELETE FROM script_rows WHERE s_suppkey = 3; SELECT s_suppkey, s_acctbal FROM script_rows"
+    )[-1]
+
+
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Engine(spark)  # the session zone
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def tumbling_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import tumbling
+
+    return tumbling(events_of(spark, sf_dir), "ts", "6 hours", ["event_type"], [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("s")])
+
+
+def sliding_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import tumbling
+
+    return tumbling(events_of(spark, sf_dir), "ts", "6 hours", [], [F.count("*").alias("n")], slide="3 hours")
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import sessions
+
+    return sessions(events_of(spark, sf_dir), "ts", "2 hours", ["user_id"], [F.count("*").alias("n")])
+
+
+def filled_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.windows import gap_filled
+
+    daily = events_of(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return gap_filled(daily, "day", "1 DAY", ["user_id"], ["n"])
+
+
 EXTRA: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "update_rows": dml("UPDATE supplier SET s_acctbal = s_acctbal + 1, s_name = 'x' WHERE s_nationkey < 5"),
     "update_from": dml("UPDATE supplier SET s_name = n_name FROM nation WHERE s_nationkey = n_nationkey AND n_regionkey = 1"),
@@ -213,11 +262,23 @@ EXTRA: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "MERGE INTO supplier t USING (SELECT c_custkey + 50 AS k, c_name, c_acctbal FROM customer WHERE c_custkey <= 100) s ON t.s_suppkey = s.k "
         "WHEN MATCHED AND s.c_acctbal < 0 THEN DELETE WHEN MATCHED THEN UPDATE SET s_acctbal = s.c_acctbal WHEN NOT MATCHED THEN INSERT (s_suppkey, s_name) VALUES (s.k, s.c_name)"
     ),
+    "unpiped_q13": unpiped,
+    "run_script": script,
+    "window_tumbling": tumbling_hours,
+    "window_sliding": sliding_hours,
+    "window_sessions": user_sessions,
+    "window_gap_fill": filled_days,
     "lineage_flat": lineage_flat,
     "schema_diff": schema_diff_rows,
     "replace_tables": replaced_tables,
 }
 EXTRA_ORACLES = {
+    "unpiped_q13": Q13_ORACLE,
+    "run_script": "SELECT s_suppkey, greatest(s_acctbal, 0) AS s_acctbal FROM supplier WHERE s_suppkey <> 3 UNION ALL SELECT -1, 1.5",
+    "window_tumbling": "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY ALL",
+    "window_sliding": "SELECT w AS window_start, w + INTERVAL 6 HOUR AS window_end, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 3 HOUR]) AS w FROM events) GROUP BY ALL",
+    "window_sessions": "SELECT min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT ts, user_id, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, k",
+    "window_gap_fill": "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), g AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY user_id) SELECT g.user_id, g.day, last_value(n IGNORE NULLS) OVER (PARTITION BY g.user_id ORDER BY g.day) AS n FROM g LEFT JOIN d ON g.user_id = d.user_id AND g.day = d.day",
     "update_rows": "SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN 'x' ELSE s_name END AS s_name, s_nationkey, CASE WHEN s_nationkey < 5 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier",
     "update_from": "SELECT s_suppkey, CASE WHEN n_regionkey = 1 THEN n_name ELSE s_name END AS s_name, s_nationkey, s_acctbal FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
     "delete_rows": "SELECT * FROM customer WHERE NOT (c_acctbal < 0 OR c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0))",
