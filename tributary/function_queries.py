@@ -265,6 +265,15 @@ GROUPS: list[tuple[str, str, str, str, str | None, bool, list[tuple[str, str, st
         ("g9", "ST_NPOINTS(ST_GEOMFROMTEXT('LINESTRING(0 0,3 4,5 ' || c_nationkey || ')'))", "CAST(3 AS INT)"),
         ("g10", "ST_X(ST_CENTROID(ST_GEOMFROMTEXT('LINESTRING(0 0,' || c_nationkey * 2 || ' 0)')))", "CAST(c_nationkey AS DOUBLE)"),
     ]),
+    ("geo_overlays", "redshift", "c_custkey", "(SELECT c_custkey, ST_MAKEENVELOPE(0, 0, c_nationkey + 2, 2) AS a, ST_MAKEENVELOPE(1, 1, c_nationkey + 4, 3) AS b FROM customer) AS t", "customer", False, [
+        ("g1", "ROUND(ST_AREA(ST_UNION(a, b)), 6)", "CAST((c_nationkey + 2) * 2 + (c_nationkey + 3) * 2 - (c_nationkey + 1) AS DOUBLE)"),
+        ("g2", "ROUND(ST_AREA(ST_INTERSECTION(a, b)), 6)", "CAST(c_nationkey + 1 AS DOUBLE)"),
+        ("g3", "ROUND(ST_AREA(ST_DIFFERENCE(a, b)), 6)", "CAST((c_nationkey + 2) * 2 - (c_nationkey + 1) AS DOUBLE)"),
+        ("g4", "ABS(ST_AREA(ST_BUFFER(a, 1)) - ST_AREA(a) - ST_PERIMETER(a) - 3.14) < 0.05", "true"),
+    ]),
+    ("geo_union_agg", "redshift", "c_mktsegment", "customer", None, True, [
+        ("g1", "ROUND(ST_AREA(ST_UNION(ST_MAKEENVELOPE(c_nationkey, 0, c_nationkey + 1, 1))), 6)", "CAST(count(DISTINCT c_nationkey) AS DOUBLE)"),
+    ]),
     ("geo_round_trips_bigquery", "bigquery", "c_custkey", "customer", None, False, [
         ("g1", "ST_X(ST_GEOGFROMWKB(ST_ASBINARY(ST_GEOGPOINT(c_nationkey, 2))))", "CAST(c_nationkey AS DOUBLE)"),
         ("g2", "ST_NUMPOINTS(ST_GEOGFROMTEXT('LINESTRING(0 0,3 4,5 ' || c_nationkey || ')'))", "CAST(3 AS INT)"),
