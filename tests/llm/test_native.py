@@ -30,15 +30,15 @@ def test_url_filter_on_pages(spark, sf_dir):
     assert got == {r["page_id"]: brute_rule(r["url"], queries.URL_RULES) for r in pages.collect()}
 
 
-@pytest.mark.parametrize("limit", [url_filter.MAX_FILTER_BYTES, 0])
-def test_url_filter_odd_rows_and_many_rules(spark, limit):
+@pytest.mark.parametrize("most", [60, 300])
+def test_url_filter_odd_rows_and_many_rules(spark, most):
     rng = random.Random(1)
     hosts = [f"h{rng.randrange(40)}.s{rng.randrange(9)}.org" for _ in range(300)]
     urls = [None, "", "x", "http://", "HTTP://A.COM", "http://a.com?x=/en/", "a://b://c/d", "http://WWW.Example.com/en/x#y", *(f"https://{h}/p{rng.randrange(5)}/q" for h in hosts)]
     urls += urls[:20]
-    rules = list({(h, p): url_filter.Rule(rng.choice(["allow", "block"]), h, p) for h in ["org", "s1.org", *hosts[:60]] for p in ["/", f"/p{rng.randrange(5)}"]}.values())
+    rules = list({(h, p): url_filter.Rule(rng.choice(["allow", "block"]), h, p) for h in ["org", "s1.org", *hosts[:most]] for p in ["/", f"/p{rng.randrange(5)}"]}.values())
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, keys string, rule string")
-    got = rows(url_filter.judge(pages, rules, max_filter_bytes=limit), "page_id")
+    got = rows(url_filter.judge(pages, rules), "page_id")
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == [brute_rule(u, rules) for u in urls]
     assert url_filter.judge(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judge(pages, []).collect()} == {"allow"}
@@ -142,6 +142,22 @@ def test_fingerprints_odd_rows(spark):
     assert len(named) == 12
 
 
+def test_blocks_are_even_and_in_order_however_ids_are_spread(spark):
+    rng = random.Random(9)
+    dense = list(range(5000))
+    hashed = [rng.randrange(-(2**63), 2**63) for _ in range(5000)]
+    spread = [int(1.01**k) + k for k in range(4000)]
+    for ids in (dense, hashed, spread):
+        rows = spark.createDataFrame([(i, str(i)) for i in ids] + [(None, "x")], "id long, text string")
+        told = {r["id"]: r["block"] for r in rows.withColumn("block", fingerprints.block_of(rows)).collect()}
+        blocks = [told[i] for i in sorted(ids)]
+        assert blocks == sorted(blocks) and told[None] == fingerprints.NULL_BLOCK and max(map(blocks.count, set(blocks))) < 2000
+        assert len(set(blocks)) >= 10
+        by_id = {r["id"]: r["next_text"] for r in fingerprints.with_next(rows).collect()}
+        order = sorted(ids, reverse=True) + [None]
+        assert all(by_id[a] == ("x" if b is None else str(b)) for a, b in zip(order, order[1:])) and by_id[None] == str(order[0])
+
+
 def test_bucket_members_that_differ_get_ordinals(spark):
     texts = spark.createDataFrame([("b", 1, 2), ("a", 1, 2), ("a", 1, 2), ("c", 3, 4)], "canonical_form string, x long, y long")
     texts = texts.selectExpr("canonical_form", "struct(x as a, y as b) as hash")

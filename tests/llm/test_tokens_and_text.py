@@ -146,6 +146,19 @@ def test_secrets_odd_rows(spark):
     assert guesses[6] == [] and guesses[7] == ["q7#Vz!kP0w_x"] and guesses[8] == ["T9$kf03mZ@qL"]
 
 
+def test_secrets_empty_tables_null_ids_repeats_and_dictionaries(spark):
+    rows = spark.createDataFrame([(None, "token: abcdefgh12"), (1, "token: abcdefgh12"), (1, "token: abcdefgh12"), (1, None)], "doc_id long, text string")
+    assert secret_scan.scan(rows.limit(0)).count() == 0
+    got = sorted(((r["doc_id"] is None, len(r["spans"])) for r in secret_scan.scan(rows).collect()))
+    assert got == [(False, 0), (False, 1), (False, 1), (True, 1)]
+    kinds = lambda text, costs=None: [k for k, *_ in secret_scan.find_spans(text, costs=costs)]
+    assert kinds("spin: q7#Vz!kP0w_x") == [] and kinds("dbPin: q7#Vz!kP0w_x") == ["guess"] == kinds("db_pin: q7#Vz!kP0w_x")
+    assert kinds("password=q7VzkP0wxZ81!") == ["assign"]
+    words = secret_scan.frequent_words(queries.byte_bpe_definition())
+    assert len(words) > 10_000 and words[: len(secret_scan.COST_OF_WORD)] == list(dict.fromkeys(secret_scan.WORDS))
+    assert kinds("pwd: CorrectHorseBatteryStaple") == ["guess"] and kinds("pwd: BetterPlaces", secret_scan.Costs.ranked(words)) == []
+
+
 def slow_bits(value):
     """The same cost by trying every segment at every end. Repeats and walks begin where their run begins."""
     n, low = len(value), value.lower()

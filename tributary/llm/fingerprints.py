@@ -16,11 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_hash, pick, wide_hash
+from .common import hex_hash, let, pick, wide_hash
 
 NORMALIZER, FOLDER = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
-#: Width of the id blocks in which neighbours are looked up, and how many blocks make a larger one, as powers of two.
-BLOCK_BITS, FAN_BITS = 8, 10
+#: Rows of the id blocks in which neighbours are looked up, about, and how many blocks make a larger one as a power of two.
+BLOCK_ROWS, FAN_BITS = 256, 10
+#: Pieces of the ids' distribution by which blocks are cut.
+PIECES = 32
+#: The block of null ids: below all others.
+NULL_BLOCK = -(1 << 62)
 
 
 def canonical(text: Column) -> Column:
@@ -66,20 +70,42 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(left == right, 1.0).otherwise(0.0)
 
 
+def block_of(rows: DataFrame) -> Column:
+    """The block of a row's id: ids in blocks of about `BLOCK_ROWS` rows each, in ascending order, however ids are spread.
+
+    Approximate quantiles of the ids, one row of them, give a piecewise linear guess of an id's rank. It rises with the id,
+    so blocks are in order whatever the quantiles are; these only make blocks even.
+    """
+    points = F.array(*(F.lit(k / PIECES) for k in range(PIECES + 1)))
+    told = rows.select(F.col("id").cast("bigint").alias("id")).agg(F.percentile_approx("id", points, F.lit(10_000)).alias("q"), F.count("id").alias("n")).first()
+    if not told["n"]:
+        return F.lit(NULL_BLOCK)
+    by_piece, last = told["n"] / PIECES / BLOCK_ROWS, len(told["q"])
+    bounds = F.split(F.lit(",".join(repr(float(x)) for x in told["q"])), ",").cast("array<double>")  # a literal, once it is folded
+    key = F.col("id").cast("double")
+
+    def guess(table: Column, k: Column) -> Column:
+        low, high = F.get(table, k - 1), F.get(table, k)
+        return F.when(k == 0, 0.0).when(k == last, float(PIECES)).otherwise(k - 1 + (key - low) / (high - low)) * by_piece
+
+    rank = let(bounds, lambda table: let(F.size(F.filter(table, lambda x: x <= key)), lambda k: guess(table, k)))
+    return F.when(F.col("id").isNull(), F.lit(NULL_BLOCK)).otherwise(F.coalesce(F.floor(rank).cast("bigint"), F.lit(0)))
+
+
 def with_next(rows: DataFrame) -> DataFrame:
     """(id, block, text, next_text): each row of (id, text) with the text of the next row in descending id order.
 
     After the last comes the first; rows with equal ids follow by text; null ids are last. Ids are cut into blocks
-    of 256; neighbours inside a block come from a window over it, the head of the next block from windows
+    of about 256 rows; neighbours inside a block come from a window over it, the head of the next block from windows
     over ever larger blocks, each of which holds at most 1024 heads. The last level has one row
-    for each 2**28 ids.
+    for each 2**28 rows.
     """
     # First rows are told by lag: a rank would get a limit of its own before a second exchange of the texts.
     leads = lambda over: F.lag(F.lit(1)).over(over).isNull()
-    # Shifts floor and are never null, so that no null filter makes the branches' scans differ: all share one exchange.
+    # Blocks are never null, so that no null filter makes the branches' scans differ: all share one exchange.
     order = [F.col("id").desc_nulls_last(), F.col("text")]
     within = Window.partitionBy("block").orderBy(*order)
-    rows = rows.withColumn("block", F.coalesce(F.shiftright(F.col("id").cast("bigint"), BLOCK_BITS), F.lit(-(1 << 62))))
+    rows = rows.withColumn("block", block_of(rows))
     placed = rows.withColumn("next_text", F.lead("text").over(within)).withColumn("leads", leads(within))
     level = placed.where("leads").select("block", F.col("text").alias("head"))
     steps, names = [level], ["block"]

@@ -75,7 +75,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents"), words=secret_scan.frequent_words(byte_bpe_definition()))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     base = F.filter("spans", lambda s: s["kind"] != "guess")
     return found.select(
@@ -119,4 +119,58 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express whole."""
+    return {"op2_chat_format": OP2, "op7_line_dedup": OP7, "op10_url_filter": OP10}
+
+
+OP2 = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), told AS (
+    SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+        sum(12 + 10 + 10 + 1 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|'))) AS chars
+    FROM t GROUP BY conv_id
+)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM told
+"""
+
+OP7 = r"""
+WITH l AS (
+    SELECT doc_id, i AS number, string_split(coalesce(text, ''), chr(10))[i] AS line
+    FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)
+), b AS (
+    SELECT *, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS normal FROM l
+), s AS (
+    SELECT *, row_number() OVER w AS pos, sum(n) OVER w AS total FROM b WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY number)
+), r AS (
+    SELECT a.doc_id, a.pos, min(e.pos) AS stop FROM s AS a JOIN s AS e ON a.doc_id = e.doc_id AND e.pos BETWEEN a.pos AND a.pos + 49 AND e.total - a.total + a.n >= 50 GROUP BY ALL
+), k AS (
+    SELECT r.doc_id, r.pos, r.stop, string_agg(e.normal, chr(10) ORDER BY e.pos) AS run FROM r JOIN s AS e ON r.doc_id = e.doc_id AND e.pos BETWEEN r.pos AND r.stop GROUP BY ALL
+), copies AS (
+    SELECT doc_id, pos, stop FROM k QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1
+), gone AS (
+    SELECT DISTINCT s.doc_id, s.number FROM copies AS c JOIN s ON c.doc_id = s.doc_id AND s.pos BETWEEN c.pos AND c.stop
+), rest AS (
+    SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.number) AS left_over FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.number = gone.number
+    WHERE l.doc_id IN (SELECT doc_id FROM gone) GROUP BY l.doc_id
+)
+SELECT doc_id, CASE WHEN c.doc_id IS NULL THEN n_chars ELSE length(coalesce(left_over, '')) END AS n_chars_left, sha256(CASE WHEN c.doc_id IS NULL THEN text ELSE coalesce(left_over, '') END) AS text_sha256
+FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM gone) AS c USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+OP10 = r"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+f AS (
+    SELECT *, '.' || host AS dotted, CASE
+        WHEN ends_with(dotted, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+        WHEN ends_with(dotted, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN ends_with(dotted, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN ends_with(dotted, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN ends_with(dotted, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+    FROM h
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM f
+"""

@@ -10,9 +10,11 @@ Texts are scanned whole, row by row, in Arrow batches; nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,8 +34,9 @@ either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in
 ASSIGN = re.compile("(" + "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key"))) + ")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
+# A context begins at a word's start: not inside letters, but where case changes (dbPassword).
 CONTEXT = re.compile(
-    "(?:" + "|".join(map(either, ("password", "passphrase", "passwd", "passcode", "pwd", "secret", "token", "api[_ -]?key", "access[_ -]?key", "private[_ -]?key", "credentials?", "auth", "bearer", "pin"))) + ")"
+    "(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?:" + "|".join(map(either, ("password", "passphrase", "passwd", "passcode", "pwd", "secret", "token", "api[_ -]?key", "access[_ -]?key", "private[_ -]?key", "credentials?", "auth", "bearer", "pin"))) + ")"
     "[\"']?\\s{0,8}(?:[:=]|=>|:=)\\s{0,8}[\"'`]?(?:" + either("bearer") + "\\s{1,8})?([^\\s\"'`,;<>()\\[\\]{}|]+)"
 )
 #: Bearer tokens behind a blank. In prose a word may follow: outside of a header the token has a digit or changes case.
@@ -76,8 +79,22 @@ def brute_of(value: str) -> Callable[[str], float]:
     return lambda c: brute_bits(c) if narrow(c) else max(wide, brute_bits(c))
 
 
-def guess_bits(value: str, brute_bits: Callable[[str], float] = brute_bits) -> float:
+@dataclass(frozen=True)
+class Costs:
+    """Words with the bits that each costs, and the length of the longest."""
+
+    of: dict[str, float]
+    longest: int
+
+    @classmethod
+    def ranked(cls, words: Sequence[str]) -> Costs:
+        """The more frequent first: a word costs log2 of its place."""
+        return cls({w: math.log2(i + 2) for i, w in reversed(list(enumerate(words)))}, max(map(len, words)))
+
+
+def guess_bits(value: str, brute_bits: Callable[[str], float] = brute_bits, costs: Costs | None = None) -> float:
     """The least cost of any segmentation of the value, in bits. Each segment besides the first costs one bit more."""
+    cost_of, longest = (costs.of, costs.longest) if costs else (COST_OF_WORD, LONGEST_WORD)
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(LEET)
@@ -93,9 +110,9 @@ def guess_bits(value: str, brute_bits: Callable[[str], float] = brute_bits) -> f
             cost = min(cost, joint(run) + brute_bits(c) + math.log2(end - run))
         if end - walk >= 3:
             cost = min(cost, joint(walk) + math.log2(47) + math.log2(end - walk))
-        for start in range(max(0, end - LONGEST_WORD), end - 1):
-            word = COST_OF_WORD.get(low[start:end])
-            if word is None and (word := COST_OF_WORD.get(plain[start:end])) is not None:
+        for start in range(max(0, end - longest), end - 1):
+            word = cost_of.get(low[start:end])
+            if word is None and (word := cost_of.get(plain[start:end])) is not None:
                 word += 1.0
             if word is not None:
                 case = 0.0 if value[start:end] == low[start:end] else 1.0 if value[start + 1 : end] == low[start + 1 : end] else end - start
@@ -108,19 +125,29 @@ def guess_bits(value: str, brute_bits: Callable[[str], float] = brute_bits) -> f
     return best[n]
 
 
-def find_spans(text: str, min_bits: float = MIN_BITS, min_length: int = MIN_LENGTH) -> list[tuple[str, int, int]]:
+def frequent_words(definition: str) -> list[str]:
+    """`WORDS`, and then the whole words of a public tokenizer's vocabulary: pieces behind a blank, in order of their
+    rank, which is about that of their frequency. Words of less than four letters cost no less than their letters."""
+    vocabulary = json.loads(definition)["model"]["vocab"]
+    found = (token[1:] for token, _ in sorted(vocabulary.items(), key=lambda x: x[1]) if re.fullmatch("\u0120[a-z]{4,16}", token))
+    return list(dict.fromkeys([*WORDS, *found]))
+
+
+def find_spans(text: str, min_bits: float = MIN_BITS, min_length: int = MIN_LENGTH, costs: Costs | None = None) -> list[tuple[str, int, int]]:
     """All (kind, start, end) of a text by start, then kind: code points, end exclusive."""
     spans, found = [], {}
     if ":" in text or "=" in text:
-        spans += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-        based = {m[2] for m in spans}
-        found = {m.start(1): m for m in CONTEXT.finditer(text) if m.end() not in based}
+        assigned = [m for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        spans += [("assign", *m.span()) for m in assigned]
+        based = {m.start(2) for m in assigned}
+        found = {m.start(1): m for m in CONTEXT.finditer(text) if m.start(1) not in based}
     if "bearer" in text.lower():
-        found = {m.start(1): m for m in BEARER.finditer(text)} | found
+        based = {s[2] for s in spans}
+        found = {m.start(1): m for m in BEARER.finditer(text) if m.end() not in based} | found
     for start, m in found.items():
         # Punctuation behind a value is its own if it's too short without.
         value = stripped if len(stripped := m[1].rstrip(".!?")) >= min_length else m[1]
-        if len(value) >= min_length and guess_bits(value, brute_of(value)) >= min_bits:
+        if len(value) >= min_length and guess_bits(value, brute_of(value), costs) >= min_bits:
             spans.append(("guess", start, start + len(value)))
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
@@ -137,16 +164,18 @@ def long_hex(text: str) -> bool:
     return b"x" * 32 in text.encode("utf-8", "surrogatepass").translate(AS_HEX)
 
 
-def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bits: float = MIN_BITS, min_length: int = MIN_LENGTH) -> DataFrame:
+def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bits: float = MIN_BITS, min_length: int = MIN_LENGTH, words: Sequence[str] = WORDS) -> DataFrame:
     """(id, spans): for each row the array of (kind, start, end) structs, as `find_spans` orders them.
 
-    Null texts count as empty; null ids and repeated rows are kept row by row; further columns are dropped.
+    `words`: the dictionary, the more frequent first. Null texts count as empty; null ids, ties and repeated rows are kept
+    row by row; very long texts are scanned whole in linear time; an empty table gives an empty result; further columns are dropped.
     """
+    costs = Costs.ranked(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            told = [[dict(zip(("kind", "start", "end"), s)) for s in find_spans(t.as_py() or "", min_bits, min_length)] for t in batch.column(1)]
+            told = [[dict(zip(("kind", "start", "end"), s)) for s in find_spans(t.as_py() or "", min_bits, min_length, costs)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, kind)], ["key", "spans"])
 
     rows = pick(documents, key=id_column, text=text_column)

@@ -7,9 +7,9 @@ that pass level 2, and so on until nothing passes wrongly. For keys of that univ
 key first fails tells exactly whether it is listed, so URLs are judged in the scan, without a join.
 
 Sizes: level 1's false-positive rate follows the ratio of listed to universe keys, so that each level
-holds about as many keys as the list; the cascade has O(listed * log2(universe / listed)) bits. The bits
-travel inside the plan while they stay under `max_filter_bytes`; beyond it `judge` answers by a shuffled
-join on the same keys instead, with the same result.
+holds about as many keys as the list; the cascade has O(listed * log2(universe / listed)) bits. They travel inside
+the plan: about three bytes for each rule of a list that the driver holds anyhow. Two scans make a cascade: one counts
+the universe, one collects the keys that pass level 1 wrongly; deeper levels see these only.
 """
 
 from __future__ import annotations
@@ -20,11 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
-
-#: Largest total of all levels that may be embedded in a plan.
-MAX_FILTER_BYTES = 1 << 20
-
+from .common import cut, let, pick
 
 @dataclass(frozen=True)
 class Rule:
@@ -47,12 +43,14 @@ class Level:
     hashes: int
 
     def contains(self, key: Column, depth: int) -> Column:
-        table = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        found = F.lit(True)
-        for probe in range(self.hashes):
-            bit = bit_of(key, depth, probe, 64 * len(self.words))
-            found = found & (F.get(table, (bit / 64).cast("int")).bitwiseAND(single_bit(bit)) != 0)
-        return found
+        def probes(table: Column) -> Column:
+            found = F.lit(True)
+            for probe in range(self.hashes):
+                bit = bit_of(key, depth, probe, 64 * len(self.words))
+                found = found & (F.get(table, (bit / 64).cast("int")).bitwiseAND(single_bit(bit)) != 0)
+            return found
+
+        return let(F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>"), probes)
 
 
 def bit_of(key: Column, depth: int, probe: int, bits: int) -> Column:
@@ -106,25 +104,19 @@ def build_level(keys: DataFrame, count: int, rate: float, depth: int) -> Level:
     return Level(tuple(full), hashes)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> list[Level] | None:
-    """The levels for `listed` keys within `universe` (both with one column k, null-free), or None where they'd be too large.
+def build_cascade(listed: DataFrame, count: int, universe: DataFrame) -> list[Level]:
+    """The levels for `count` distinct `listed` keys within `universe` (both with one column k, null-free; keys may repeat in the universe).
 
-    Listed keys that don't occur in the universe needn't be encoded: no URL asks for them.
+    The universe's size only sets level 1's rate, so an estimate does.
     """
-    listed = listed.distinct()
-    absent = universe.distinct().join(F.broadcast(listed) if listed.isLocal() else listed, "k", "left_anti")
-    inside, outside = listed, absent
-    n_in, n_out = inside.count(), outside.count()
-    levels: list[Level] = []
-    while n_in and (n_out or not levels):
-        depth = len(levels)
-        rate = 0.5 if depth else min(0.5, max(n_in / (math.sqrt(2) * max(n_out, 1)), 2.0**-16))
-        if n_in * -math.log2(rate) / math.log(2) / 8 > max_filter_bytes - sum(8 * len(x.words) for x in levels):
-            return None
-        levels.append(build_level(inside, n_in, rate, depth))
-        passed = outside.where(levels[-1].contains(F.col("k"), depth))
-        inside, outside = passed, inside
-        n_in, n_out = inside.count(), n_in
+    if not count:
+        return []
+    size = universe.agg(F.approx_count_distinct("k").alias("n")).first()["n"]
+    levels = [build_level(listed, count, min(0.5, max(count / (math.sqrt(2) * max(size, 1)), 2.0**-16)), 0)]
+    inside, outside = cut(universe.where(levels[0].contains(F.col("k"), 0)).distinct().join(listed, "k", "left_anti")), listed
+    while n := inside.count():
+        levels.append(build_level(inside, n, 0.5, len(levels)))
+        inside, outside = outside.where(levels[-1].contains(F.col("k"), len(levels) - 1)), inside
     return levels
 
 
@@ -136,37 +128,29 @@ def is_listed(key: Column, levels: list[Level]) -> Column:
     return answer
 
 
-def judge(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", url_column: str = "url", default: str = "allow", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", url_column: str = "url", default: str = "allow") -> DataFrame:
     """Verdict for each page: id, host, path, rule (text of the longest rule that fits, else null), verdict.
 
     A rule fits its host and all subdomains where the path starts with the rule's path; the longest wins,
-    between equally long ones the one that sorts first. Without a rule the verdict is `default`. Null and
-    malformed URLs have an empty host and path and fit no rule; repeated rows are judged one by one; an
-    empty table or list gives an empty or all-default result. Further columns of the input are dropped.
+    between equally long ones the one that sorts first. Of rules that agree in host and path the last counts. Without a rule
+    the verdict is `default`. Null and malformed URLs have an empty host and path and fit no rule; repeated rows are judged
+    one by one; an empty table or list gives an empty or all-default result. Further columns of the input are dropped.
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
     parts = pick(pages, page=id_column, url=url_column).select("page", host.alias("host"), path.alias("path"))
-    lengths = sorted({len(r.path) for r in rules})
-    result = ["page", "host", "path", "rule", "verdict"]
-    named = [F.col("page").alias(id_column), *result[1:]]
-    if not rules:
-        return parts.select("page", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")).select(*named)
-    keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-    listed = spark.createDataFrame([(f"{r.host}\x01{r.path}",) for r in rules], "k string")
-    levels = build_cascade(listed, keyed.select(F.explode("keys").alias("k")), max_filter_bytes)
+    actions = {f"{r.host}\x01{r.path}": r.action for r in rules}
+    result = [F.col("page").alias(id_column), "host", "path", "rule", "verdict"]
+    if not actions:
+        return parts.select("page", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")).select(*result)
+    keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), sorted({len(r.path) for r in rules})))
+    table = lambda keys: spark.createDataFrame([(k,) for k in keys], "k string")
+    blocked = [k for k, action in actions.items() if action == "block"]
+    levels = build_cascade(table(actions), len(actions), keyed.select(F.explode("keys").alias("k")))
+    blocking = build_cascade(table(blocked), len(blocked), table(actions))
     order = lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k"))
-    blocking = None if levels is None else build_cascade(
-        spark.createDataFrame([(f"{r.host}\x01{r.path}",) for r in rules if r.action == "block"], "k string"), listed, max_filter_bytes
-    )
-    if levels is None or blocking is None:  # too large for a plan: the same keys by a shuffled join
-        table = spark.createDataFrame([(f"{r.host}\x01{r.path}", r.text, r.action) for r in rules], "k string, rule string, action string")
-        hits = keyed.select("host", "path", F.explode("keys").alias("k")).distinct().join(table.hint("merge"), "k")
-        best = hits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), order(F.col("k"))).alias("best"))
-        joined = parts.join(best, ["host", "path"], "left")
-        return joined.select("page", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict")).select(*named)
-    found = F.filter(F.col("keys"), lambda k: is_listed(k, levels)) if levels else F.array().cast("array<string>")
+    found = F.filter(F.col("keys"), lambda k: is_listed(k, levels))
     best = keyed.withColumn("best", F.get(F.array_sort(F.transform(found, order)), F.lit(0))["k"])
     rule = F.translate(F.col("best"), "\x01", "")
     verdict = F.when(rule.isNull(), default).when(is_listed(F.col("best"), blocking), "block").otherwise("allow")
-    return best.select("page", "host", "path", rule.alias("rule"), verdict.alias("verdict")).select(*named)
+    return best.select("page", "host", "path", rule.alias("rule"), verdict.alias("verdict")).select(*result)
