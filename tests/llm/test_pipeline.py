@@ -36,5 +36,20 @@ def test_stages(spark, sf_dir, tmp_path):
     assert set(kept[5]) == set(kept[4]) and len(rows[5]) > 50
 
 
+def test_odd_rows(spark):
+    """Nulls, empty, long and repeated texts, clashing columns and an empty table pass all stages."""
+    line = lambda n, seed: " ".join(f"w{i * seed}" for i in range(n))
+    own = {1: line(80, 3), 2: line(80, 7), 3: line(30000, 11), None: line(70, 13)}
+    rows = [(i, t, "en", "s", len(t)) for i, t in own.items()] + [(1, own[1], "en", "s", len(own[1])), (9, own[2], "en", "s", 1), (5, None, None, None, None), (6, "", "de", "t", 0), (7, "too short", "de", "t", 9)]
+    clashing = ["row", "id", "slot", "line", "mix_id", "gone_id", "d"]
+    docs = spark.createDataFrame([(*r, *["z"] * len(clashing)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clashing))
+    for frame, want in ((docs, {1, 2, 3, None}), (docs.limit(0), set())):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = frame.columns
+            frame = stage(spark, frame, "")
+            assert k == 4 or frame.columns == columns
+        assert {r["doc_id"] for r in frame.collect()} == want
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "n_tokens", "ids", "n_bytes"]

@@ -53,6 +53,12 @@ def tidy(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever store its path names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` where `value` is evaluated once for each row: a one-element transform binds it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -228,7 +228,7 @@ def read(spark: SparkSession, path: str, id_column: str = "doc_id", with_ids: bo
 
 def fresh_folder(spark: SparkSession) -> str:
     """A new folder for one file set, where the driver and all executors can read it: below the session's
-    checkpoint folder, else below its warehouse."""
+    checkpoint folder, else below its warehouse. Whoever asked for it removes it (`common.remove_folder`)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/token-files-{uuid.uuid4().hex}"
 
