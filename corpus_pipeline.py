@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import bpe, line_dedup, mixing, near_dup, quality
-from tributary.llm.common import read_table
+from tributary.llm.common import read_table, remove_folder
 from tributary.llm.queries import multi_ranks
 from tributary.llm.token_files import fresh_folder
 
@@ -36,7 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids, and the number of bytes that decoding gives back."""
+    """doc_id, n_tokens, ids, and the number of bytes that decoding gives back."""
     ranks = multi_ranks()
     encoded = bpe.encode(docs, ranks)
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.octet_length(bpe.decode(F.col("ids"), ranks)).cast("bigint").alias("n_bytes"))
@@ -55,9 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+    """All stages over the whole documents table. What lies between two stages is removed once it is read; the last result stays."""
     docs, folder = read_table(spark, sf_dir, "documents"), fresh_folder(spark)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
