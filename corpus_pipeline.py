@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the number of bytes that decoding gives back."""
     ranks = multi_ranks()
-    encoded = bpe.encode(docs, ranks)
+    encoded = bpe.encode(docs, ranks, sample_rows=2048)  # less on a driver that four stages have already used
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.octet_length(bpe.decode(F.col("ids"), ranks)).cast("bigint").alias("n_bytes"))
 
 
