@@ -6,6 +6,8 @@ may be WKB, WKT, hexadecimal WKB or GeoJSON wherever a geometry is asked for.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -29,19 +31,47 @@ UDFS = {
 }
 
 
-def wrapped(function, kind: str, count: int, safe: bool = False):
-    """A UDF's body: NULL for any NULL, geometries parsed and written."""
+#: Arguments in bytes or characters up to which a worker keeps a call's result, and how many results it keeps.
+KEPT_SIZE, KEPT = 1024, 4096
+
+
+def evaluate(name: str, args: tuple):
+    """A function of geometries that are parsed, its result written."""
+    function, kind, count = UDFS[name]
+    found = function(*(g.parse(a) if k < count or isinstance(a, (bytes, bytearray)) else a for k, a in enumerate(args)))
+    return g.to_wkb(found) if kind == "binary" and found is not None else found
+
+
+@functools.lru_cache(KEPT, typed=True)
+def remembered(name: str, *args):
+    return evaluate(name, args)
+
+
+def keepable(args: tuple) -> bool:
+    """Whether the arguments are small, and those equal to them the same (0.0 and -0.0 aren't)."""
+    size = 0
+    for a in args:
+        kind = type(a)
+        if kind is bytes or kind is str:
+            size += len(a)
+        elif kind is bytearray or kind is not int and a == 0:
+            return False
+    return size <= KEPT_SIZE
+
+
+def wrapped(name: str, safe: bool = False):
+    """A UDF's body: NULL for any NULL. Columns often repeat geometries, so a worker keeps the last used results of small arguments."""
+    keep = UDFS[name][1] != BOX  # a dict, which others could change
 
     def run(*args):
-        if any(a is None for a in args):
+        if None in args:
             return None
         try:
-            found = function(*(g.parse(a) if k < count or (isinstance(a, (bytes, bytearray)) and k >= count) else a for k, a in enumerate(args)))
+            return remembered(name, *args) if keep and keepable(args) else evaluate(name, args)
         except (ValueError, KeyError, IndexError, StopIteration):
             if safe:
                 return None
             raise
-        return g.to_wkb(found) if kind == "binary" and found is not None else found
 
     return run
 
@@ -55,9 +85,9 @@ def from_list(function):
 
 
 def register(spark: SparkSession) -> None:
-    for name, (function, kind, count) in UDFS.items():
-        spark.udf.register(name, F.udf(wrapped(function, kind, count), kind, useArrow=True))
-    spark.udf.register("geo_try_parse", F.udf(wrapped(lambda x: x, "binary", 1, True), "binary", useArrow=True))
+    for name, (_, kind, _) in UDFS.items():
+        spark.udf.register(name, F.udf(wrapped(name), kind, useArrow=True))
+    spark.udf.register("geo_try_parse", F.udf(wrapped("geo_parse", True), "binary", useArrow=True))
     spark.udf.register("geo_collect", F.udf(from_list(lambda parts: g.collected([x for p in parts for x in g.singles(p)])), "binary", useArrow=True))
     spark.udf.register("geo_union_list", F.udf(from_list(g.union), "binary", useArrow=True))
     spark.udf.register("geo_dump", F.udf(lambda x: None if x is None else [g.to_wkb(p) for p in g.singles(g.parse(x))], "array<binary>", useArrow=True))
