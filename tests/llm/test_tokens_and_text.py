@@ -1,6 +1,7 @@
 """BPE, chat formatting, token files and secret scans against the libraries, round trips and brute force."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -100,6 +101,26 @@ def test_token_files_odd_rows(spark, tmp_path):
         check_files(token_files.read(spark, str(tmp_path / name)).collect(), [] if name == "b" else list(zip(ODD_IDS, ODD_TEXTS)))
 
 
+def test_word_cache_is_bounded_and_encodes_as_the_library(monkeypatch):
+    from tributary.llm import word_encoder
+
+    monkeypatch.setattr(word_encoder, "GENERATION", 100)
+    definition = queries.byte_bpe_definition()
+    tokenizer = Tokenizer.from_str(definition)
+    rng = random.Random(11)
+    texts = [t or "" for t in ODD_TEXTS] + ["".join(map(chr, range(1, 700))), "x<|endoftext|>y", "\0 \0", "  a\n\n b  ", "one", "é" * 90]
+    texts += ["".join(chr(rng.choice((rng.randrange(1, 128), rng.randrange(1, 0xD800), 32, 32))) for _ in range(2000)) for _ in range(20)]
+    prefixed = json.dumps(json.loads(definition) | {"normalizer": {"type": "Lowercase"}})  # what the model alone doesn't do
+    for told, library in ((definition, tokenizer), (prefixed, Tokenizer.from_str(prefixed))):
+        encoder = word_encoder.WordEncoder(told, public_tokenizers.PATTERN)
+        sizes = set()
+        for _ in range(2):
+            for text in texts:
+                assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+                sizes |= {len(encoder.words), len(encoder.words.old)}
+        assert max(sizes) == 100  # also within one text of more words
+
+
 def test_elias_fano_round_trip_and_size():
     rng = random.Random(3)
     for n, top in ((0, 1), (1, 0), (1, 2**62), (1000, 10), (5000, 10**6), (300, 2**40)):
